@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quelora.llm import decontaminate
+from quelora.llm import decontaminate, simhash
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": decontaminate.op2_decontaminate}
+    return {
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_simhash": simhash.op3_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
