@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quelora.llm import decontaminate, simhash
+from quelora.llm import decontaminate, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_simhash": simhash.op3_simhash,
+        "op5_quality": quality.op5_quality,
     }
 
 
