@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quelora.llm import decontaminate, quality, simhash
+from quelora.llm import decontaminate, encode, quality, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_simhash": simhash.op3_simhash,
         "op5_quality": quality.op5_quality,
+        "op9_encode": encode.op9_encode,
     }
 
 
