@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quelora.llm import decontaminate, encode, quality, simhash
+from quelora.llm import decontaminate, encode, langid, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_simhash": simhash.op3_simhash,
+        "op4_language": langid.op4_language,
         "op5_quality": quality.op5_quality,
         "op9_encode": encode.op9_encode,
     }
