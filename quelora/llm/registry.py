@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quelora.llm import decontaminate, encode, langid, quality, simhash
+from quelora.llm import decontaminate, encode, langid, quality, simhash, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_tokens": tokens.op1_tokens,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_simhash": simhash.op3_simhash,
         "op4_language": langid.op4_language,
