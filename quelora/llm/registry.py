@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quelora.llm import decontaminate, encode, html, langid, quality, simhash, tokens
+from quelora.llm import decontaminate, encode, html, langid, quality, reshard, simhash, tokens
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_language": langid.op4_language,
         "op5_quality": quality.op5_quality,
         "op7_html": html.op7_html,
+        "op8_reshard": reshard.op8_reshard,
         "op9_encode": encode.op9_encode,
     }
 
