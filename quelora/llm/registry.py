@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quelora.llm import decontaminate, encode, html, langid, quality, reshard, simhash, tokens
+from quelora.llm import decontaminate, encode, html, langid, lm, quality, reshard, simhash, tokens
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_html": html.op7_html,
         "op8_reshard": reshard.op8_reshard,
         "op9_encode": encode.op9_encode,
+        "op10_lm": lm.op10_lm,
     }
 
 
