@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quelora.llm import decontaminate, encode, html, langid, lm, quality, reshard, simhash, tokens
+from quelora.llm import decontaminate, encode, html, langid, lines, lm, quality, reshard, simhash, tokens
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_simhash": simhash.op3_simhash,
         "op4_language": langid.op4_language,
         "op5_quality": quality.op5_quality,
+        "op6_lines": lines.op6_lines,
         "op7_html": html.op7_html,
         "op8_reshard": reshard.op8_reshard,
         "op9_encode": encode.op9_encode,
