@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quelora.llm.common import BLOCK_BYTES, merged
 from quelora.llm.pieces import Vocabulary, model_path, vocabulary
@@ -113,20 +114,16 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
             sums = pa.array([None if x is None else zlib.crc32(x) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, counts, sums], [*batch.schema.names, *outputs])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType(list(source.schema.fields))
     schema = schema.add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", T.LongType()).add("ids_crc32", T.LongType())
     return source.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, ids_col: str = "piece_ids", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Replaces the column of ids by the text that they stand for."""
+    """Adds the text that the ids stand for, in place of any column of its name."""
     path = path or model_path()
-    from pyspark.sql import types as T
-
-    kept = [c for c in rows.columns if c not in (ids_col, text_col)]
-    source = rows.select(*(F.col(f"`{c}`") for c in kept), F.col(ids_col))
+    kept = [c for c in rows.columns if c != text_col]
+    source = rows.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
@@ -135,21 +132,21 @@ def decode(rows: DataFrame, ids_col: str = "piece_ids", text_col: str = "text",
             values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             missing = column.is_null().to_pylist()
             texts = [None if m else encoder.decode(values[a:b]) for a, b, m in zip(ends[:-1], ends[1:], missing, strict=True)]
-            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != ids_col]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*kept, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text_col])
 
-    return source.mapInArrow(run, T.StructType([source.schema[c] for c in kept]).add(text_col, T.StringType()))
+    return source.mapInArrow(run, T.StructType(list(source.schema.fields)).add(text_col, T.StringType()))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """id, n_pieces, ids_crc32, n_bytes and text_crc32 of the decoded text, and whether it is the given text."""
+    """id, piece_ids, n_pieces, ids_crc32, n_bytes and text_crc32 of the decoded text, and whether it is the given
+    text."""
     text = F.col(f"`{text_col}`").cast("string")
     slim = docs.select(F.col(f"`{id_col}`").alias(id_col), text.alias("text"), F.crc32(text).alias("given_crc32"), F.octet_length(text).alias("given_bytes"))
-    coded = encode(slim, path=path).drop("text")
-    back = decode(coded, path=path)
+    back = decode(encode(slim, path=path).drop("text"), path=path)
     same = F.col("given_crc32").eqNullSafe(F.crc32("text")) & F.col("given_bytes").eqNullSafe(F.octet_length("text"))
     return back.select(
         id_col,
+        "piece_ids",
         "n_pieces",
         "ids_crc32",
         F.octet_length("text").cast("long").alias("n_bytes"),
@@ -162,4 +159,4 @@ def op9_encode(spark, sf_dir: str) -> DataFrame:
     """Every document, encoded and decoded again."""
     from quelora.llm.common import table
 
-    return round_trip(table(spark, sf_dir, "documents"))
+    return round_trip(table(spark, sf_dir, "documents")).drop("piece_ids")

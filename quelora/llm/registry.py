@@ -5,6 +5,12 @@ from __future__ import annotations
 from quelora.llm import decontaminate, encode, html, langid, lines, lm, quality, reshard, simhash, tokens
 
 
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_tokens": tokens.op1_tokens,
@@ -17,6 +23,7 @@ def queries() -> dict:
         "op8_reshard": reshard.op8_reshard,
         "op9_encode": encode.op9_encode,
         "op10_lm": lm.op10_lm,
+        "pipeline": _pipeline,
     }
 
 

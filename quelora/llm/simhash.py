@@ -66,16 +66,16 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """id and fp (the fingerprint's bits as a signed long) of each row."""
+    """id, doc (hash of id and text) and fp (the fingerprint's bits as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             found = [fingerprint(shingle_hashes(t, size)) for t in batch.column("text").to_pylist()]
             fps = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc"), pa.array(fps)], ["id", "doc", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "id long, fp long")
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    return docs.select(key.alias("id"), F.xxhash64(key, text).alias("doc"), text.alias("text")).mapInArrow(run, "id long, doc long, fp long")
 
 
 def _halves(free: list[int]) -> tuple[list[int], list[int]]:
@@ -180,18 +180,37 @@ def links(fps: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """id, fingerprint (16 hexadecimal digits) and component_id (the smallest id reachable) of each row."""
-    rows = materialize(fingerprints(docs, id_col, text_col, size), "simhash-rows")
+def components(rows: DataFrame) -> DataFrame:
+    """(fp, part, component_id) of each distinct fingerprint of rows (id, fp); part names its component."""
     smallest = materialize(rows.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
     edges = materialize(links(smallest.select("fp")), "simhash-edges")
     # only fingerprints with a link take part in the components; all others are their own
     parts = connected_components(edges)
-    linked = parts.join(smallest.withColumnRenamed("fp", "node"), "node").select("node", "part", "id")
-    named = linked.groupBy("part").agg(F.min("id").alias("component"))
-    members = parts.join(named, "part").select(F.col("node").alias("fp"), "component")
-    named_fps = smallest.join(members, "fp", "left").select("fp", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
-    return rows.join(named_fps, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = parts.join(smallest, parts["node"] == smallest["fp"]).groupBy("part").agg(F.min("id").alias("component"))
+    members = parts.join(named, "part").withColumn("linked", F.lit(True))
+    every = smallest.join(members, smallest["fp"] == members["node"], "left")
+    return every.select(
+        "fp",
+        F.coalesce("part", "fp").alias("part"),
+        F.when(F.col("linked"), F.col("component")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """id, fingerprint (16 hexadecimal digits) and component_id (the smallest id reachable) of each row."""
+    rows = materialize(fingerprints(docs, id_col, text_col, size), "simhash-rows")
+    found = components(rows)
+    return rows.join(found, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """The row of least id (then of least hash of id and text) of each component, with all its columns."""
+    rows = materialize(fingerprints(docs, id_col, text_col, size), "simhash-rows")
+    first = rows.join(components(rows), "fp").groupBy("part").agg(F.min(F.struct("id", "doc")).alias("first"))
+    kept = materialize(first.select(F.col("first.doc").alias("__doc")).distinct(), "simhash-kept")
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    # rows that repeat id and text have one key, and one of them stays
+    return docs.withColumn("__doc", F.xxhash64(key, text)).join(kept, "__doc", "left_semi").dropDuplicates(["__doc"]).drop("__doc")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
