@@ -12,8 +12,8 @@ their names are in that order too. The range of each file comes from quantiles o
 before the shuffle and only packed ids move. A file is written under a temporary name and renamed, so a task that
 runs again replaces it by the same bytes. Reading is one task for each file.
 
-A block-wise word cache spares the tokenizer most of its work: ids of a text are those of its parts between spaces
-and line feeds, as the tokenizer drops white space and never joins across it.
+A cache of words spares the tokenizer most of its work: ids of a text are those of its parts between spaces and line
+feeds, as the tokenizer drops white space and never joins across it.
 
 Defined results: null texts count as empty and hold the end id alone; repeated rows are all stored; an empty table
 gives no files; other columns are not read.
@@ -21,7 +21,9 @@ gives no files; other columns are not read.
 
 from __future__ import annotations
 
+import array
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,7 +43,7 @@ END_ID = 1
 FILE_ROWS = 8192
 FILES = 10_000
 #: Distinct parts that a task remembers between blocks, and the length from which a part isn't remembered.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 LONG_PART = 100
 
 
@@ -53,6 +55,8 @@ def min_bits(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as consecutive big-endian fields of ``bits`` bits, padded to a byte."""
     out = []
+    if bits % 8 == 0:
+        return ids.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - bits // 8 :].tobytes()
     for start in range(0, len(ids), BLOCK_IDS):  # a multiple of 8 ids fills whole bytes
         raw = ids[start : start + BLOCK_IDS].astype(">u4").view(np.uint8).reshape(-1, 4)
         out.append(np.packbits(np.unpackbits(raw, axis=1)[:, 32 - bits :]).tobytes())
@@ -61,6 +65,10 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(raw: bytes, bits: int, count: int) -> np.ndarray:
     """The first ``count`` ids of what pack() gave."""
+    if bits % 8 == 0:
+        fields = np.zeros((count, 4), dtype=np.uint8)
+        fields[:, 4 - bits // 8 :] = np.frombuffer(raw, np.uint8, count=count * bits // 8).reshape(count, bits // 8)
+        return fields.view(">u4").ravel().astype("<u4")
     out = np.empty(count, dtype="<u4")
     for start in range(0, count, BLOCK_IDS):
         n = min(BLOCK_IDS, count - start)
@@ -163,39 +171,68 @@ class TokenFile:
             yield (None if self.nulls[k] else int(self.ids[k])), held[start - first : stop - first]
 
 
+def _byte_letters() -> dict[int, str]:
+    """Code points by which byte-level tokenizers write the bytes that aren't printable; other bytes are their own."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+#: Marks that may end a plain part: neither letters, digits, white space nor the apostrophe of a contraction.
+MARKS = ".,;:!?|#*$%&-+=/()[]{}\"_~@^"
+
+
+class Parts(dict):
+    """Ids (little-endian 32-bit) of the parts between spaces, each computed when it is first asked for.
+
+    The library normalises, splits and merges. Its split makes one piece of a run of letters and one of a run of marks,
+    so a plain part (Latin letters, then marks) is given to its merge model as these pieces, lower-cased; it need not
+    be normalised. All other parts go through the whole tokenizer."""
+
+    def __init__(self, library):
+        super().__init__({"": b""})
+        self.library, self.model = library, library.model
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+            found = _raw([t.id for t in self.model.tokenize(shown)])
+            if len(piece) <= LONG_PART:
+                self.pieces[piece] = found
+        return found
+
+    def __missing__(self, part: str) -> bytes:
+        core = part.rstrip(MARKS)
+        if not core or (core.isalpha() and max(core) <= "\xff"):
+            found = self._piece(core.lower()) + self._piece(part[len(core) :])
+        else:
+            found = _raw(self.library.encode(part, add_special_tokens=False).ids)
+        if len(part) <= LONG_PART:
+            self[part] = found
+        return found
+
+
+def _raw(ids: list[int]) -> bytes:
+    return array.array("I", ids).tobytes() if sys.byteorder == "little" and array.array("I").itemsize == 4 else np.array(ids, "<u4").tobytes()
+
+
 class Tokenizer:
     """Ids of texts by the tokenizers library, with the parts between spaces remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
 
-        self.library = Library.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes many parts as one text and deals the ids out by their offsets."""
-        for start in range(0, len(new), 256):
-            group = new[start : start + 256]
-            found = self.library.encode(" ".join(group), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in group])
-            ids = np.array(found.ids, dtype="<u4")
-            owner = np.searchsorted(ends, np.array([o[0] for o in found.offsets], dtype=np.int64), side="right")
-            cuts = np.searchsorted(owner, np.arange(len(group) + 1))
-            for w, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
-                self.known[w] = ids[a:b].tobytes()
+        self.parts = Parts(Library.from_file(path))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = list({p for c in cut for p in c}.difference(self.known))
-        self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for p in new:
-            if len(p) > LONG_PART:
-                del self.known[p]
-        return out
+        if len(self.parts) > REMEMBERED:
+            self.parts = Parts(self.parts.library)
+        look = self.parts.__getitem__
+        return [b"".join(map(look, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 def vocabulary_size(path: str) -> int:
