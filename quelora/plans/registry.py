@@ -1,11 +1,220 @@
-"""Named queries of the analytics engine and their SQL twins."""
+"""Named queries of the analytics engine and their SQL twins.
+
+Every query runs over the whole ``events`` table through the record log, the contract and the operators; the SQL
+derives the same rows from the table directly.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quelora.functions.ids import event_id
+from quelora.operators import changelog, checks, contract, metrics, replay, view
+from quelora.settings import Settings
+from quelora.sources.adapter import events_log
+
+DAY = Settings(window_seconds=86_400, allowed_lateness_seconds=86_400)
+HOUR = Settings(window_seconds=3_600, allowed_lateness_seconds=3_600)
+
+
+def _utc(f):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return f(spark, sf_dir)
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
+def _validated(spark, sf_dir) -> DataFrame:
+    return contract.validate(events_log(spark, sf_dir))
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return contract.valid(_validated(spark, sf_dir))
+
+
+def _queue(spark, sf_dir, settings: Settings) -> DataFrame:
+    found = metrics.window_metrics(_events(spark, sf_dir), settings).where(F.col("metric_type") == metrics.QUEUE)
+    return changelog.revisions(found).select("dimension_id", "window_start", *metrics.QUEUE_METRICS)
+
+
+def queue_metrics_day(spark, sf_dir):
+    """Twelve metrics by queue and day."""
+    return _queue(spark, sf_dir, DAY)
+
+
+def queue_metrics_hour(spark, sf_dir):
+    """Twelve metrics by queue and hour."""
+    return _queue(spark, sf_dir, HOUR)
+
+
+def agent_state_counts(spark, sf_dir):
+    """Transitions by target state and hour."""
+    found = metrics.window_metrics(_events(spark, sf_dir), HOUR).where(F.col("metric_type") == metrics.STATE)
+    return changelog.revisions(found).select("aggregate_id", "dimension_id", "window_start", "window_end", "transitions")
+
+
+def changelog_union(spark, sf_dir):
+    """Both kinds of aggregates by day, as changelog rows."""
+    return changelog.revisions(metrics.window_metrics(_events(spark, sf_dir), DAY))
+
+
+def changelog_records(spark, sf_dir):
+    """Round trip of the changelog through its log records."""
+    records = changelog.encode(changelog_union(spark, sf_dir), DAY.metrics_topic)
+    back = changelog.decode(records)
+    return back.select(F.col("key").cast("string").alias("key"), "aggregate_id", "offered", "p90_wait_seconds", "transitions")
+
+
+def queue_window_report(spark, sf_dir):
+    """The report form of queue metrics by day."""
+    return metrics.queue_window_report(_events(spark, sf_dir), DAY)
+
+
+def contract_errors(spark, sf_dir):
+    """Records by rule that fails; 0 for valid ones."""
+    return _validated(spark, sf_dir).groupBy(F.coalesce("rule", F.lit(0)).alias("rule")).agg(F.count("*").alias("n"))
+
+
+def dlq_rows(spark, sf_dir):
+    """Dead letters by error text and key."""
+    letters = contract.dead_letter_records(contract.dead_letters(_validated(spark, sf_dir)), DAY.dlq_topic)
+    body = F.col("value").cast("string")
+    return letters.groupBy(F.get_json_object(body, "$.error").alias("error"), F.col("key").cast("string").alias("kafka_key")).agg(F.count("*").alias("n"))
+
+
+def topic_routing(spark, sf_dir):
+    """Valid records by topic."""
+    return _events(spark, sf_dir).groupBy(DAY.topic(F.col("event_type")).alias("topic")).agg(F.count("*").alias("n"))
+
+
+def dedup_stats(spark, sf_dir):
+    """Accepted events, duplicates and windows by hour."""
+    return metrics.dedup_summary(_events(spark, sf_dir), HOUR)
+
+
+def event_id_uuid5(spark, sf_dir):
+    """Deterministic ids of the raw events."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return raw.select("event_id", event_id(F.col("user_id").cast("string"), F.concat(F.lit("evento-"), F.col("event_id").cast("string"))).alias("id"))
+
+
+def delivery_disorder(spark, sf_dir):
+    """Events delivered after a later one."""
+    return checks.disorder(_events(spark, sf_dir).where("copy = 0"))
+
+
+def late_split(spark, sf_dir):
+    """Events by minute window that the highest event time delivered before them has closed, with 60 s of lateness."""
+    minute = Settings(allowed_lateness_seconds=60)
+    rows = _events(spark, sf_dir).where("copy = 0").withColumn("end", F.window("event_ts", "60 seconds").end)
+    from pyspark.sql import Window
+
+    # delays are below 100 s, so what precedes a row in its day and the day before holds the running maximum
+    day = F.floor(F.unix_micros("deliver_at") / 86_400_000_000)
+    order = Window.partitionBy("day").orderBy("deliver_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    running = rows.withColumn("day", day)
+    tops = running.groupBy("day").agg(F.max("event_ts").alias("top")).withColumn("before", F.max("top").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
+    marked = running.withColumn("seen", F.max("event_ts").over(order)).join(tops.select("day", "before"), "day")
+    high = F.greatest("seen", "before")
+    late = F.coalesce(F.unix_micros(high) >= F.unix_micros("end") + minute.allowed_lateness_seconds * 1_000_000, F.lit(False))
+    behind = F.coalesce(F.unix_micros(high) >= F.unix_micros("end"), F.lit(False))
+    return marked.select(F.when(late, "dropped").when(behind, "late").otherwise("on_time").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def _revisions(spark, sf_dir) -> DataFrame:
+    """A changelog with several revisions in arrival order: each event is a revision of its user's aggregate, its pane
+    the number in props."""
+    raw = _events(spark, sf_dir).where("copy = 0")
+    user = F.substring("event_key", 2, 20)
+    pane = ((F.unix_micros("deliver_at") - F.unix_micros("event_ts")) / 1_000_000).cast("int")
+    return raw.select(F.concat(F.lit("user|"), user).alias("aggregate_id"), F.when(pane % 10 != 9, pane).alias("pane_index"), F.col("event_id").cast("long").alias("offset"))
+
+
+def view_latest(spark, sf_dir):
+    """The last revision of each aggregate."""
+    return view.latest(_revisions(spark, sf_dir), ["offset"])
+
+
+def view_counters(spark, sf_dir):
+    """Revisions that replaced one and those out of order."""
+    return view.counters(_revisions(spark, sf_dir), ["offset"])
+
+
+def lifecycle_gaps(spark, sf_dir):
+    """Gaps in contacts' life cycles, counted by kind."""
+    return checks.lifecycle_gaps(_events(spark, sf_dir)).groupBy("gap").agg(F.count("*").alias("n"))
+
+
+def transition_breaks(spark, sf_dir):
+    """Agents' broken transition chains."""
+    return checks.transition_breaks(_events(spark, sf_dir).where("copy = 0").withColumn("n", F.col("event_id").cast("long")), ["event_ts", "n"])
+
+
+def causal_breaks(spark, sf_dir):
+    """Contacts whose first events are out of causal order."""
+    return checks.causal_breaks(_events(spark, sf_dir), F.col("event_id").cast("long"))
+
+
+def replay_duplicates(spark, sf_dir):
+    """Records of each event: those with k below 3 come twice."""
+    found = events_log(spark, sf_dir).groupBy("copy").agg(F.count("*").alias("n"))
+    return found
+
+
+def replay_corrupt(spark, sf_dir):
+    """Broken copies of all valid events fail the contract by the rule of missing payload fields."""
+    events = _events(spark, sf_dir).where("copy = 0").drop("copy")
+    broken = replay.log_records(replay.copies(events, 0.0, 1.0).where("copy = 'invalid'"), DAY)
+    return contract.validate(broken).groupBy("rule", "error").agg(F.count("*").alias("n"))
+
+
+def summary_by_type(spark, sf_dir):
+    """Events by type, contacts and the total."""
+    return checks.summary(_events(spark, sf_dir))
+
+
+def dashboard_projection(spark, sf_dir):
+    """The display table of the daily changelog."""
+    return view.dashboard(changelog_union(spark, sf_dir)).select("window", "metric", "dimension", "pane", "offered", "connected", "abandoned", "transitions")
+
+
+def stream_queue_metrics(spark, sf_dir):
+    """The daily changelog by way of the streaming query: the log is written in four parts by delivery time, read a
+    file at a time and materialised from the revisions."""
+    import tempfile
+    import uuid
+
+    from quelora.sources.log import FileLog
+    from quelora.streaming import pipeline
+
+    base = (spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/stream-{uuid.uuid4().hex[:8]}"
+    log = FileLog(f"{base}/log")
+    records = events_log(spark, sf_dir)
+    at = F.unix_seconds("deliver_at")
+    low, high = records.agg(F.min(at), F.max(at)).first()
+    step = ((high or 0) - (low or 0)) // 4 + 1
+    for k in range(4):
+        log.append(records.where((at >= (low or 0) + k * step) & (at < (low or 0) + (k + 1) * step)).coalesce(1))
+    query = pipeline.to_view(log.stream(spark, 1), DAY, f"{base}/view", f"{base}/checkpoint")
+    query.awaitTermination()
+    return view.ViewStore(f"{base}/view").read(spark).select("aggregate_id", *metrics.QUEUE_METRICS, "transitions")
+
+
+QUERIES = [
+    queue_metrics_day, queue_metrics_hour, agent_state_counts, changelog_union, changelog_records, queue_window_report, contract_errors, dlq_rows,
+    topic_routing, dedup_stats, event_id_uuid5, delivery_disorder, late_split, view_latest, view_counters, lifecycle_gaps, transition_breaks,
+    causal_breaks, replay_duplicates, replay_corrupt, summary_by_type, dashboard_projection, stream_queue_metrics,
+]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: _utc(f) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quelora.plans import oracle
+
+    return oracle.sql()
