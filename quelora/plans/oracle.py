@@ -90,7 +90,7 @@ SELECT event_id, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || '89ab89a
         t AS (SELECT p, max(p) OVER (PARTITION BY a ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM c)
         SELECT count(*) AS messages_seen, count(*) FILTER (top IS NULL) AS aggregates, count(*) FILTER (p >= top) AS revisions_replaced, count(*) FILTER (p < top) AS out_of_order_ignored FROM t""",
         "lifecycle_gaps": BASE
-        + """g AS (SELECT key, bool_or(kind = 'contact_queued') AS q, bool_or(kind = 'contact_connected') AS c, bool_or(kind = 'contact_ended') AS e FROM ok WHERE NOT agent GROUP BY key),
+        + """g AS (SELECT key, bool_or(kind = 'contact_queued') AS q, bool_or(kind = 'contact_connected') AS c, bool_or(kind = 'contact_ended') AS e FROM ok WHERE NOT agent GROUP BY key, date_trunc('day', ts)),
         x AS (SELECT 'queued_not_ended' AS gap FROM g WHERE q AND NOT e UNION ALL SELECT 'ended_not_queued' FROM g WHERE e AND NOT q UNION ALL SELECT 'connected_not_ended' FROM g WHERE c AND NOT e)
         SELECT gap, count(*) AS n FROM x GROUP BY gap""",
         "transition_breaks": BASE

@@ -144,8 +144,9 @@ def view_counters(spark, sf_dir):
 
 
 def lifecycle_gaps(spark, sf_dir):
-    """Gaps in contacts' life cycles, counted by kind."""
-    return checks.lifecycle_gaps(_events(spark, sf_dir)).groupBy("gap").agg(F.count("*").alias("n"))
+    """Gaps in contacts' life cycles, counted by kind; a contact's days count as contacts of their own."""
+    daily = F.concat_ws("|", "event_key", F.date_format("event_ts", "yyyy-MM-dd"))
+    return checks.lifecycle_gaps(_events(spark, sf_dir).withColumn("event_key", daily)).groupBy("gap").agg(F.count("*").alias("n"))
 
 
 def transition_breaks(spark, sf_dir):
