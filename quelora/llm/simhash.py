@@ -33,7 +33,8 @@ SHINGLE = 3
 SEED = 42
 BITS = 64
 DISTANCE = 2
-#: Distinct fingerprints that are compared in one bucket; larger buckets are cut again.
+#: Distinct fingerprints that are compared in one bucket; larger buckets are cut again. At least 64, below which a cut
+#: may leave a bucket as it is.
 BUCKET = 2048
 
 _POP = np.array([bin(k).count("1") for k in range(1 << 16)], dtype=np.uint8)
@@ -96,19 +97,47 @@ def _variants(free: list[int]) -> list[tuple[int, int, list[int]]]:
     return out
 
 
-def _signatures(members: DataFrame, free: list[int], first: int) -> DataFrame:
-    """A row for each fingerprint of a bucket and variant: key, variant (numbered from ``first``), bit (the wildcard
-    bit's value; null without one), fp."""
+def _signatures(fps: DataFrame) -> DataFrame:
+    """A row for each fingerprint and variant of its 64 bits: key, free (the bits that the variant leaves free), bit
+    (the wildcard bit's value; null without one), fp."""
     rows = [
         F.struct(
-            F.lit(first + k).alias("variant"),
+            F.lit(_mask(rest)).cast("long").alias("free"),
+            F.lit(mask).cast("long").alias("mask"),
             F.col("fp").bitwiseAND(F.lit(mask)).alias("value"),
             (F.shiftrightunsigned("fp", wild).bitwiseAND(F.lit(1)).cast("byte") if wild >= 0 else F.lit(None).cast("byte")).alias("bit"),
         )
-        for k, (mask, wild, _) in enumerate(_variants(free))
+        for mask, wild, rest in _variants(list(range(BITS)))
     ]
-    out = members.select("bucket", "fp", F.explode(F.array(*rows)).alias("s"))
-    return out.select(F.xxhash64("bucket", "s.variant", "s.value").alias("key"), "s.variant", "s.bit", "fp")
+    out = fps.select("fp", F.explode(F.array(*rows)).alias("s"))
+    return out.select(F.xxhash64("s.mask", "s.value").alias("key"), "s.free", "s.bit", "fp")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit integers over all values, one to one."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _cut_again(members: DataFrame) -> DataFrame:
+    """The signature rows of the members (key, free, fp) of large buckets: variants of the bits that their key leaves
+    free, under that key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, free, fps = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "free", "fp"))
+            for mask in np.unique(free):
+                at = free == mask
+                fp, under = fps[at], _mix(bucket[at])
+                bits = [b for b in range(BITS) if int(mask) >> b & 1]
+                for own, wild, rest in _variants(bits):
+                    key = _mix(under ^ _mix((fp & np.uint64(own & (1 << 64) - 1)) ^ _mix(np.uint64([(own ^ wild) & (1 << 64) - 1]))))
+                    bit = pa.nulls(len(fp), pa.int8()) if wild < 0 else pa.array(((fp >> np.uint64(wild)) & np.uint64(1)).astype(np.int8))
+                    left = np.full(len(fp), _mask(rest), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(left), bit, pa.array(fp.view(np.int64))], ["key", "free", "bit", "fp"])
+
+    return members.select("key", "free", "fp").mapInArrow(run, "key long, free long, bit byte, fp long")
 
 
 def _shared(signatures: DataFrame) -> DataFrame:
@@ -163,21 +192,15 @@ def _link(rows: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b), b below a as unsigned, that connect the distinct fingerprints of ``fps`` as all links do."""
     found: DataFrame | None = None
-    level = [(fps.select(F.lit(0).cast("long").alias("bucket"), "fp"), list(range(BITS)))]
-    while level:
-        signatures, left_free = None, []
-        for members, free in level:
-            more = _signatures(members, free, len(left_free))
-            signatures = more if signatures is None else signatures.unionByName(more)
-            left_free += [rest for _, _, rest in _variants(free)]
+    signatures = _signatures(fps)
+    while True:
         shared = _shared(signatures)
         edges = _link(shared.where(F.col("n") <= BUCKET).select("key", "fp"))
         found = edges if found is None else found.unionByName(edges)
-        # by variant, as the bits that it leaves free depend on it: at most 66 variants on the first level
         large = shared.where(F.col("n") > BUCKET)
-        again = [row.variant for row in large.select("variant").distinct().orderBy("variant").collect()]
-        level = [(large.where(F.col("variant") == v).select(F.col("key").alias("bucket"), "fp"), left_free[v]) for v in again]
-    return found
+        if not large.limit(1).count():
+            return found
+        signatures = materialize(_cut_again(large), "simhash-level")
 
 
 def components(rows: DataFrame) -> DataFrame:
