@@ -11,9 +11,9 @@ number and content; keys that only one line has are dropped, and the members of
 bit-parallel edit distance.
 
 A key that more than ``BUCKET`` lines share isn't gathered. Its members are cut again: what a line holds besides the
-shared segment goes through the same partition, under the key, so lines part further at each level, and the rest
-shrinks by a third at least until it is no longer than EDITS, where all members are within the distance. No line and
-no link is lost. A bucket yields a star for each connected part, not pairs, and components come from the shared
+shared segment goes through the same partition, under the key, so lines part further at each level. The rest shrinks
+until it is short, where lines link by equal variants with up to two characters wild or deleted, which is exact and
+needs no bucket. No line and no link is lost. A bucket yields a star for each connected part, not pairs, and components come from the shared
 folder.
 
 Defined results: a null text stays null and has no lines; rows that repeat both id and text lose the same lines; a
@@ -22,7 +22,6 @@ document may become empty; other columns are carried by ``dedup_lines``.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +39,12 @@ NEAR_CHARS = 40
 MIN_WORDS = 3
 #: Lines that are verified against each other at one key.
 BUCKET = 1024
+#: Length up to which what is left of a line is linked by its variants.
+SHORT = 12
 #: Stands for a shared segment that was cut out; any character does, as members of a bucket have it at the same cut.
 CUT = "\x00"
+#: Stands for any character in a variant; a lone surrogate, which no text holds.
+WILD = "\udc80"
 
 
 def segments(length: int, parts: int = EDITS + 1) -> list[tuple[int, int]]:
@@ -277,33 +280,60 @@ def _verified(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return groups.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
-def _rest(rows: DataFrame, cuts: int) -> tuple[DataFrame, DataFrame]:
+def neighbours(text: str) -> list[tuple[str, bool]]:
+    """(variant, whether it may be the centre) of a short text, for two edits. A variant has up to two characters
+    wild or deleted. Two texts are within two edits exactly if they share a variant of which one may be the centre:
+    of those with one character wild or two deleted only a text that deletes nothing may."""
+    n, out = len(text), {}
+    cut = lambda k, by="": text[:k] + by + text[k + 1 :]
+
+    def add(tag: str, variant: str, centre: bool) -> None:
+        out[tag + variant] = out.get(tag + variant, False) or centre
+
+    add("a", text, True)
+    add("b", text, True)
+    for j in range(n):
+        add("a", cut(j), True)
+        wild = cut(j, WILD)
+        add("c", wild, True)
+        for k in range(n):
+            if k != j:
+                add("c", wild[:k] + wild[k + 1 :], False)
+            if k < j:
+                add("b", cut(j)[:k] + cut(j)[k + 1 :], False)
+                add("d", wild[:k] + WILD + wild[k + 1 :], True)
+    return list(out.items())
+
+
+def _rest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For members (key, line, text, start, size) of large buckets: signature rows under their key of what the line
-    holds besides the shared segment (with that text), and star edges of the members whose rest is short. cuts: how
-    many segments have been cut out with this one."""
+    holds besides the shared segment (with that text), and star edges of the members whose rest is short. The two
+    ranges of lengths overlap by EDITS, so every pair is in one of them."""
 
     def cut(row: dict) -> str:
         return row["text"][: row["start"]] + CUT + row["text"][row["start"] + row["size"] :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string())
         for batch in batches:
-            rests = [(r["line"], cut(r), r["key"]) for r in batch.to_pylist()]
-            columns: tuple[list, ...] = ([], [], [], [], [], [])
-            for line, text, key in rests:
-                if len(text) - cuts > EDITS:
-                    for signature in signatures(text, key & 0x7FFFFFFF):
-                        for c, v in zip(columns, (signature[0] ^ key, signature[1], line, *signature[2:], text), strict=True):
+            for first in range(0, batch.num_rows, 256):
+                columns: tuple[list, ...] = ([], [], [], [], [], [])
+                for r in batch.slice(first, 256).to_pylist():
+                    text, key, found = cut(r), r["key"], []
+                    if len(text) > SHORT:
+                        found += [(k ^ key, own, r["line"], start, size, text) for k, own, start, size in signatures(text, key & 0x7FFFFFFF)]
+                    if len(text) <= SHORT + EDITS:
+                        digest = lambda v, key=key: _long(xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), key & (1 << 64) - 1))
+                        found += [(digest(v), None, r["line"], int(not centre), 0, "") for v, centre in neighbours(text)]
+                    for row in found:
+                        for c, v in zip(columns, row, strict=True):
                             c.append(v)
-                else:  # all of these are within the distance of each other
-                    for c, v in zip(columns, (key, None, line, 0, 0, ""), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "own", "line", "start", "size", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "own", "line", "start", "size", "text"])
 
     found = materialize(rows.select("key", "line", "text", "start", "size").mapInArrow(run, "key long, own boolean, line long, start int, size int, text string"), "lines-rest")
     short = found.where("own IS NULL")
-    least = short.groupBy("key").agg(F.min("line").alias("b"))
-    edges = short.join(least, "key").select(F.col("line").alias("a"), "b").where("a <> b").distinct()
+    centres = short.where("start = 0").groupBy("key").agg(F.min("line").alias("b"))
+    edges = short.join(centres, "key").select(F.col("line").alias("a"), "b").where("a <> b").distinct()
     return found.where("own IS NOT NULL"), edges
 
 
@@ -313,17 +343,16 @@ def near_edges(rows: DataFrame) -> DataFrame:
     texts = materialize(_texts(rows, shared.select("line").distinct()), "lines-text")
     found: DataFrame | None = None
     level = shared.join(texts, "line") if shared.where(F.col("n") > BUCKET).limit(1).count() else shared
-    for cuts in itertools.count(1):
+    while True:
         sets = level.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
         edges = _verified(sets.select("lines").distinct(), texts)
         found = edges if found is None else found.unionByName(edges)
         large = level.where(F.col("n") > BUCKET)
         if "text" not in level.columns or not large.limit(1).count():
             return found
-        rest, more = _rest(large, cuts)
+        rest, more = _rest(large)
         found = found.unionByName(more)
         level = materialize(_shared(rest), "lines-level")
-    raise AssertionError("unreachable")
 
 
 def classes(rows: DataFrame, table: DataFrame) -> DataFrame:

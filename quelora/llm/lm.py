@@ -288,7 +288,8 @@ def fit(texts: DataFrame) -> tuple[DataFrame, Table, Model]:
     """Counts and trains on all rows of texts; the counts stay in the shared folder."""
     counts = materialize(word_counts(texts), "lm-counts")
     totals = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(TOP).toArrow()
+    is_end = F.col("word") == F.lit(END)
+    top = counts.where(~is_end).orderBy(F.desc("n"), "word").limit(TOP).unionByName(counts.where(is_end)).toArrow()
     table = Table(top["word"].to_pylist(), top["n"].to_pylist(), totals.n, totals.v)
     return counts, table, train(texts, table)
 

@@ -291,6 +291,15 @@ def test_edit_distance_and_segments():
             assert {s[0] for s in lines.signatures(longer)} & {s[0] for s in lines.signatures(shorter) if s[1]}
 
 
+def test_short_variants_link_exactly_what_is_near():
+    rng = random.Random(4)
+    for _ in range(6000):
+        a = "".join(rng.choices("abc", k=rng.randrange(8)))
+        b = edited(rng, a, rng.randrange(5)) if rng.random() < 0.8 else "".join(rng.choices("abc", k=rng.randrange(8)))
+        x, y = dict(lines.neighbours(a)), dict(lines.neighbours(b))
+        assert any(x[k] or y[k] for k in set(x) & set(y)) == (distance(a, b) <= 2)
+
+
 @pytest.mark.parametrize("bucket", [1024, 2])
 def test_lines(spark, monkeypatch, bucket):
     monkeypatch.setattr(lines, "BUCKET", bucket)
