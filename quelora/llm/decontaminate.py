@@ -4,7 +4,7 @@
 inverted index: every distinct term with the ascending list of its positions. ``search`` evaluates windows of the
 test items against each block: it takes the window's terms from the rarest to the most frequent in that block,
 starts with the rarest term's positions minus its offset in the window, and intersects them with the
-offset-adjusted positions of each further term. ``near`` uses the same lists for proximity matches.
+offset-adjusted positions of each further term. With a slop, ``search`` finds proximity matches from the same lists.
 
 The index is partitioned by document, so building it moves no rows between executors, a very common term or
 passage is spread over all blocks, and a block's result needs nothing from other blocks. Test items go to the
