@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quelora.llm import decontaminate, encode, langid, lines, simhash
+from quelora.llm import decontaminate, encode, langid, lines, neardup
 from quelora.llm.common import materialize, table
 
 #: Posterior of the predicted language from which a document stays.
@@ -39,8 +39,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies."""
-    return simhash.one_of_each(docs).select(docs.columns)
+    """Keeps the first document of each group of near copies: five-word shingles, similarity 4/5 or more."""
+    return neardup.one_of_each(docs).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language ID", language_stage),
     ("line dedup", line_stage),
-    ("SimHash near-dedup", near_duplicate_stage),
+    ("near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("SentencePiece encoding and decoding", encoding_stage),
 ]
