@@ -230,8 +230,7 @@ class Page:
             if len(found) and found.mean() <= COPY_SHARE:
                 flags = found
                 break
-        declared = any(place == CONTENT for _, place in self.lines)
-        keep = [place == CONTENT if declared else not flag for (_, place), flag in zip(self.lines, flags, strict=True)]
+        keep = [place == CONTENT or not flag for (_, place), flag in zip(self.lines, flags, strict=True)]
         return "\n".join(t for t, k in zip(self.texts, keep, strict=True) if k), int(flags.sum()), len(keep) - sum(keep)
 
 
