@@ -355,38 +355,51 @@ def near_edges(rows: DataFrame) -> DataFrame:
         level = materialize(_shared(rest), "lines-level")
 
 
-def classes(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """(doc, no, n_links) of the first line of each class; n_links: near links that its class holds."""
-    edges = materialize(near_edges(rows), "lines-edges")
-    parts = connected_components(edges)
+def classes(table: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc, no) of the first line of each class; parts are the components of the near links."""
     each = table.select("id", "doc", F.explode("lines").alias("x")).select("id", "doc", "x.*")
     distinct = each.groupBy("a", "b").agg(F.min(F.struct("id", "doc", "no")).alias("first"))
     linked = distinct.join(parts, distinct["a"] == parts["node"], "left")
-    alone = linked.where("part IS NULL").select("first", F.lit(0).cast("long").alias("n_links"))
-    joined = linked.where("part IS NOT NULL").groupBy("part").agg(F.min("first").alias("first"), (F.count("*") - 1).alias("n_links"))
-    return alone.unionByName(joined.select("first", "n_links")).select("first.doc", "first.no", "n_links")
+    alone = linked.where("part IS NULL").select("first")
+    joined = linked.where("part IS NOT NULL").groupBy("part").agg(F.min("first").alias("first"))
+    return alone.unionByName(joined.select("first")).select("first.doc", "first.no")
 
 
-def _kept(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The line table, and for each document the numbers of its lines that are first in their class."""
+def _kept(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The line table, for each document the numbers of its lines that are first in their class, and the components of
+    the near links."""
     rows = _documents(docs, id_col, text_col)
     table = materialize(line_table(rows), "lines-table")
-    first = classes(rows, table).groupBy("doc").agg(F.collect_set("no").alias("firsts"), F.sum("n_links").alias("n_links"))
-    return table, first
+    parts = connected_components(materialize(near_edges(rows), "lines-edges"))
+    return table, classes(table, parts).groupBy("doc").agg(F.collect_set("no").alias("firsts")), parts
+
+
+def _members(table: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc, near, n_links) of each document with near lines: the class of each such line, by its number, and to how
+    many other distinct lines they link, directly or by others."""
+    parts = materialize(parts, "lines-parts")
+    sizes = parts.groupBy("part").agg((F.count("*") - 1).alias("n_links"))
+    classed = materialize(parts.join(sizes, "part"), "lines-classes")
+    each = table.dropDuplicates(["doc"]).select("doc", F.explode("lines").alias("x")).select("doc", "x.no", "x.a")
+    found = each.join(classed, each["a"] == classed["node"]).groupBy("doc")
+    return found.agg(F.map_from_entries(F.collect_list(F.struct("no", "part"))).alias("near"), F.sum("n_links").alias("n_links"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_lines, n_dropped, dropped (line numbers, ascending) and n_links (near lines that its own stand for)."""
-    table, first = _kept(docs, id_col, text_col)
+    """id, n_lines, n_dropped, dropped (line numbers, ascending), classes (number and class_id of each line that takes
+    part; lines of one class have one class_id) and n_links (other distinct lines in the classes of its near lines, for
+    each such line)."""
+    table, first, parts = _kept(docs, id_col, text_col)
     numbers = F.transform("lines", lambda x: x["no"])
     dropped = F.array_sort(F.array_except(numbers, F.coalesce("firsts", F.array().cast("array<int>"))))
-    out = table.join(first, "doc", "left").withColumn("dropped", dropped)
-    return out.select("id", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), "dropped", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = table.join(first, "doc", "left").join(_members(table, parts), "doc", "left").withColumn("dropped", dropped)
+    of = F.transform("lines", lambda x: F.struct(x["no"].alias("no"), F.coalesce(F.try_element_at("near", x["no"]), x["a"]).alias("class_id")))
+    return out.select("id", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), "dropped", of.alias("classes"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines taken out of their texts."""
-    table, first = _kept(docs, id_col, text_col)
+    table, first, _ = _kept(docs, id_col, text_col)
     numbers = F.transform("lines", lambda x: x["no"])
     drop = table.join(first, "doc", "left").select("doc", F.array_except(numbers, F.coalesce("firsts", F.array().cast("array<int>"))).alias("__drop")).where(F.size("__drop") > 0)
     text, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
