@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one Python task holds at a time; a single longer row still goes through whole.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Rows of a batch on its way to Python while a table is written, at most; its buffers are off the heap.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,31 +50,117 @@ def _own_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def drop() -> None:
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # the gateway may be closed already
-            return
+        with contextlib.suppress(Exception):  # the gateway may be closed already
+            _delete(spark, path)
 
     atexit.register(drop)
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, batches to Python hold BATCH_ROWS rows at most; then the session's own setting is back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote, once nothing reads them any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.scratch_path)
+
+
+@functools.cache
+def _c_library():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library keeps what it has
+        return None
+
+
+def trim() -> None:
+    """Hands back to the system what a Python worker has freed; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (library := _c_library()) is not None and hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow whose tasks end with trim()."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(whole, schema)
+
+
+#: Bits of the filter that spares rows of no use a shuffle; a full filter spares none and loses none.
+FILTER_BITS = 1 << 23
+
+
+def key_filter(keys: DataFrame, column: str) -> bytes:
+    """A bit for each residue of the keys (longs); of fixed size, whatever the keys."""
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    parts = keys.select(at.alias("k")).groupBy(F.bitmap_bucket_number("k").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    for r in parts.collect():  # FILTER_BITS / 32,768 rows at most, parts counted from 1
+        found = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        bits[(r.part - 1) * len(found) + np.flatnonzero(found)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def in_filter(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each of the keys."""
+    at = keys % FILTER_BITS
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def identity(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits of a row's id and text, as two longs."""
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    return F.xxhash64(key, text), F.xxhash64(text, F.lit(1), key)
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs as one column ``row`` beside others, so that no name of theirs can clash with the columns of docs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of packed()'s ``row``."""
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds at most ``limit`` bytes of ``column``, or a single row."""
-    import numpy as np
-
     for batch in batches:
         if batch.num_rows == 0:
             continue
