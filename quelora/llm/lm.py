@@ -1,19 +1,23 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
-The model gives log P(w | v) = q_v . r_w + b_w - log Z_v over the end token, the most frequent words and one class
-for all other words, with v the word before. Context is one word so that the normaliser is a table over v, computed
-exactly by batched matrix products; the probabilities of each context sum to one. A word of the rare class has the
-class's probability times its add-half share of the class, in which one unseen word takes part.
-
-Words are counted over all training documents. Every task trains its own copy from a common start on all of its
-training documents, against noise from the unigram distribution, and the copies are averaged, weighted by their
-tokens: the parameters meet in a sum for each chunk of them, and the driver gets one model.
+The model gives log P(w | v) = q_v . r_w + b_w - log Z_v over classes of words, with v the class of the word before.
+Classes are the end token, each of the ``FREQUENT`` most frequent words, and ``ENDINGS`` classes of all other words, by a
+hash of their last three bytes, so that rare words keep vectors of their own kind. Context is one word so that the
+normaliser is a table over v, computed exactly by batched matrix products; the probabilities of each context sum to one.
+A word of an ending class has the class's probability times its add-half share of the class, in which one unseen word
+takes part.
+
+Words are counted over all training documents, and so are the pairs of neighbouring classes. The pairs are all that the
+model learns from, and their number is bounded by the classes, whatever the corpus. Training climbs the NCE objective
+over all pairs with its noise in expectation rather than by samples: each of ``ROUNDS`` rounds takes the gradient in
+``BLOCKS`` fixed blocks of contexts, as products of matrices, and the driver adds the blocks up in order and makes an
+Adam step. So the result doesn't depend on how the corpus or the work is dealt out.
 
 Scoring looks words up in a table of the ``TOP`` most frequent, whose size is fixed. All other words go through a join
 with the full counts, which is exact however large the vocabulary grows.
 
 Defined results: a null or empty text is the end token alone; repeated rows each get a result; a null doc_id trains;
-without training documents the base score is zero and the model is uniform over its two classes; other columns are not
+without training documents the base score is zero and the model is uniform over its classes; other columns are not
 read.
 """
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,27 +35,32 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quelora.llm.common import blocks, materialize, merged, space_words
+from quelora.llm.common import blocks, map_batches, materialize, merged, space_words
 
 #: Words that executors look up without a join.
 TOP = 250_000
-#: Output classes of the model: the end token, the rare class and the most frequent words.
-CLASSES = 8192
+#: Words that are a class each, and classes of all others.
+FREQUENT = 4096
+ENDINGS = 4096
+ENDING_BYTES = 3
 WIDTH = 16
-NOISE = 64
-BATCH = 4096
-RATE = 0.15
-CHUNK = 1 << 15
+#: Noise words to a true one.
+NOISE = 64.0
+ROUNDS = 16
+RATE = 0.2
+#: Pseudo-count of a class when its gradient is scaled by how often it occurs.
+STEADY = 10.0
+BLOCKS = 32
 #: The token that ends a text; no word holds a space.
 END = b" "
-END_ID, RARE_ID = 0, 1
-#: Distinct words that a counting task holds before it hands them on.
+END_ID = 0
+#: Distinct words, or pairs of classes, that a counting task holds before it hands them on.
 HELD = 1_000_000
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -67,34 +77,50 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 counts = Counter()
         yield _count_rows(counts)
 
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(texts.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _count_rows(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
+def ending(word: bytes, frequent: int, endings: int) -> int:
+    """Class of a word that isn't one of the frequent."""
+    return 1 + frequent + zlib.crc32(word[-ENDING_BYTES:]) % endings
+
+
 class Table:
-    """The most frequent words with their counts, and the totals of all."""
+    """The most frequent words with their counts, and the totals of all words and of the ending classes."""
 
-    def __init__(self, words: list[bytes], counts: list[int], n_tokens: int, n_words: int, classes: int = CLASSES):
+    def __init__(self, words: list[bytes], counts: list[int], n_tokens: int, n_words: int, by_ending: dict[int, tuple[int, int]]):
+        """by_ending: (tokens, distinct words) of all words, the frequent included, by the hash of their ending."""
         self.key = uuid.uuid4().hex
         self.joined, self.counts = b"\n".join(words), np.array(counts, dtype=np.int64)
-        self.n_tokens, self.n_words = n_tokens, n_words
-        self.size = len(words)
-        order = [k for k, w in enumerate(words) if w != END][: classes - 2]
-        #: class of each word of the table, and of a word outside it, last
-        self.class_of = np.full(self.size + 1, RARE_ID, dtype=np.int32)
-        self.class_of[order] = np.arange(2, 2 + len(order))
-        ends = [k for k, w in enumerate(words) if w == END]
-        self.class_of[ends] = END_ID
-        self.end_count = int(self.counts[ends].sum())
-        classed = np.concatenate(([self.end_count, 0], self.counts[order]))
-        classed[RARE_ID] = max(0, n_tokens - int(classed.sum()))
-        self.unigram = (classed + 0.5) / (classed + 0.5).sum()
-        rare_words = n_words - len(order) - len(ends)
-        #: add-half total of the rare class with one unseen word
-        self.rare_total = float(classed[RARE_ID]) + 0.5 * max(0, rare_words) + 0.5
+        self.n_tokens, self.n_words, self.size = n_tokens, n_words, len(words)
+        self.frequent, self.endings = FREQUENT, ENDINGS
+        self.classes = 1 + FREQUENT + ENDINGS
+        #: class of each word of the table, and zero last
+        self.class_of = np.zeros(self.size + 1, dtype=np.int32)
+        tokens, distinct = np.zeros(self.classes), np.zeros(self.classes)
+        for k, (n, v) in by_ending.items():
+            tokens[1 + FREQUENT + k], distinct[1 + FREQUENT + k] = n, v
+        self.end_count, alone = 0, 0
+        for k, (word, n) in enumerate(zip(words, counts, strict=True)):
+            if word == END:
+                self.end_count = n
+                continue
+            self.class_of[k] = kind = ending(word, FREQUENT, ENDINGS)
+            if alone < FREQUENT:  # words come in order of their counts
+                tokens[kind], distinct[kind] = tokens[kind] - n, distinct[kind] - 1
+                alone += 1
+                self.class_of[k] = alone
+                tokens[alone], distinct[alone] = n, 1
+        tokens[END_ID], distinct[END_ID] = self.end_count, 1
+        distinct[1 + FREQUENT :] += 1  # an unseen word
+        #: add-half total of each class
+        self.mass = tokens + 0.5 * distinct
+        self.live = distinct > 0
+        self.unigram = np.where(self.live, self.mass, 0.5) / np.where(self.live, self.mass, 0.5).sum()
 
     @property
     def base_total(self) -> float:
@@ -121,18 +147,10 @@ class Model:
         self.log_z: np.ndarray | None = None
 
     @classmethod
-    def start(cls, unigram: np.ndarray, width: int = WIDTH) -> Model:
-        rng = np.random.default_rng(20)
-        small = lambda: (rng.standard_normal((len(unigram), width)) * 0.1).astype(np.float32)
-        return cls(small(), small() * np.float32(0.1), np.log(unigram).astype(np.float32))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate((self.q.ravel(), self.r.ravel(), self.b))
-
-    @classmethod
-    def of(cls, flat: np.ndarray, width: int = WIDTH) -> Model:
-        n = len(flat) // (2 * width + 1)
-        return cls(flat[: n * width].reshape(n, width), flat[n * width : 2 * n * width].reshape(n, width), flat[2 * n * width :])
+    def start(cls, unigram: np.ndarray, seen: np.ndarray, width: int = WIDTH) -> Model:
+        """The unigram distribution in every context; contexts that weren't seen stay at it."""
+        q = (np.random.default_rng(20).standard_normal((len(unigram), width)) * 0.1).astype(np.float32)
+        return cls(np.where(seen[:, None], q, np.float32(0)), np.zeros_like(q), np.log(unigram).astype(np.float32))
 
     def normalise(self) -> Model:
         """Fills the table of log Z by matrix products over blocks of contexts."""
@@ -149,40 +167,37 @@ class Model:
         return np.einsum("ij,ij->i", self.q[before], self.r[now]).astype(np.float64) + self.b[now] - self.log_z[before]
 
 
-class Trainer:
-    """Noise-contrastive estimation by AdaGrad on batches that share their noise words."""
-
-    def __init__(self, model: Model, unigram: np.ndarray, seed: int):
-        self.model = Model(model.q.copy(), model.r.copy(), model.b.copy())
-        self.rng = np.random.default_rng(seed)
-        self.cumulative = np.cumsum(unigram)
-        self.log_noise = (np.log(unigram) + math.log(NOISE)).astype(np.float32)
-        self.squares = [np.full_like(x, 1e-2) for x in (self.model.q, self.model.r, self.model.b)]
-        self.tokens = 0
-
-    def step(self, before: np.ndarray, now: np.ndarray) -> None:
-        m = self.model
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(m.b) - 1)
-        h, out = m.q[before], m.r[now]
-        real = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, out) + m.b[now] - self.log_noise[now]))
-        fake = -1 / (1 + np.exp(-(h @ m.r[noise].T + m.b[noise] - self.log_noise[noise])))
-        grads = [np.zeros_like(x) for x in (m.q, m.r, m.b)]
-        np.add.at(grads[0], before, real[:, None] * out + fake @ m.r[noise])
-        np.add.at(grads[1], now, real[:, None] * h)
-        np.add.at(grads[1], noise, fake.T @ h)
-        np.add.at(grads[2], now, real)
-        np.add.at(grads[2], noise, fake.sum(axis=0))
-        for x, g, s in zip((m.q, m.r, m.b), grads, self.squares, strict=True):
-            g /= np.float32(len(now) ** 0.5)
-            s += g * g
-            x += np.float32(RATE) * g / np.sqrt(s)
-        self.tokens += len(now)
-
-
-def _token_ids(texts: list[str | None], places: dict[bytes, int], size: int) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Places of all words, with an end after each text (words outside the table: size), the texts' token counts, and
-    each text's words outside the table. The end's place is -1."""
-    flat, counts, outside = [], [], []
+def nce_gradient(model: Model, log_noise: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient of the NCE objective over the pairs counts[context, word]: of the contexts' q, of r and of b. The noise is
+    exp(log_noise) words a true one, in expectation."""
+    right = 1 / (1 + np.exp(log_noise - (model.q[contexts] @ model.r.T + model.b)))  # that a word is no noise
+    noise = counts.sum(axis=1, keepdims=True) * np.exp(log_noise)
+    slope = (counts * (1 - right) - noise * right).astype(np.float32)
+    return slope @ model.r, slope.T @ model.q[contexts], slope.sum(axis=0)
+
+
+class Adam:
+    """Adaptive steps uphill on several arrays."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.arrays = arrays
+        self.means, self.squares = ([np.zeros_like(x) for x in arrays] for _ in range(2))
+        self.steps = 0
+
+    def step(self, grads: list[np.ndarray], rate: float) -> None:
+        self.steps += 1
+        for x, g, m, s in zip(self.arrays, grads, self.means, self.squares, strict=True):
+            m *= 0.8
+            m += 0.2 * g
+            s *= 0.95
+            s += 0.05 * g * g
+            x += (rate * (m / (1 - 0.8**self.steps)) / (np.sqrt(s / (1 - 0.95**self.steps)) + 0.02)).astype(x.dtype)
+
+
+def _tokens(texts: list[str | None], places: dict[bytes, int], table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Places of all words, with an end after each text (-1; words outside the table: its size), the classes of these
+    tokens, the texts' token counts, and each text's words outside the table."""
+    flat, counts, outside, size = [], [], [], table.size
     for text in texts:
         words = space_words(text, lower=True)
         found = [places.get(w, size) for w in words]
@@ -190,59 +205,121 @@ def _token_ids(texts: list[str | None], places: dict[bytes, int], size: int) ->
         found.append(-1)
         flat += found
         counts.append(len(found))
-    return np.array(flat, dtype=np.int64), np.array(counts, dtype=np.int64), outside
+    at = np.array(flat, dtype=np.int64)
+    now = np.where(at < 0, END_ID, table.class_of[at])
+    rare = [ending(w, table.frequent, table.endings) for ws in outside for w in ws]
+    now[at == size] = rare
+    return at, now, np.array(counts, dtype=np.int64), outside
 
 
-def _contexts(places: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
-    """(class before, class) of each token; a text begins after an end."""
-    now = np.where(places < 0, END_ID, table.class_of[places])
-    before = np.concatenate(([END_ID], now[:-1]))
-    return before, now
+def _before(now: np.ndarray) -> np.ndarray:
+    """Class before each token; a text begins after an end."""
+    return np.concatenate(([END_ID], now[:-1]))
 
 
-def train(texts: DataFrame, table: Table) -> Model:
-    """Trains on all rows and averages the tasks' models."""
-    spark = texts.sparkSession
-    start = Model.start(table.unigram)
-    bound = spark.sparkContext.broadcast((table, start))
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of (keys, counts) parts, with their sums."""
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def pair_counts(texts: DataFrame, table: Table) -> DataFrame:
+    """(block, pairs, n): the pairs (context * classes + class, ascending) of each block of contexts and how often
+    they occur in all texts, as bytes of 64-bit integers."""
+    bound = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = bound.value
-        trainer = Trainer(model, words.unigram, TaskContext.get().partitionId())
+        words = bound.value
         places = numbers(words)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in merged(batches, "text", 4 << 20):
-            before, now = _contexts(_token_ids(batch.column("text").to_pylist(), places, words.size)[0], words)
-            for k in range(0, len(now), BATCH):
-                trainer.step(before[k : k + BATCH], now[k : k + BATCH])
-        if trainer.tokens:
-            flat = trainer.model.flat()
-            chunks = [flat[k : k + CHUNK] for k in range(0, len(flat), CHUNK)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(chunks)), pa.int32()), pa.array([trainer.tokens] * len(chunks), pa.int64()), pa.array([c.tobytes() for c in chunks], pa.binary())],
-                ["chunk", "tokens", "values"],
-            )
+            now = _tokens(batch.column("text").to_pylist(), places, words)[1].astype(np.int64)
+            held.append(np.unique(_before(now) * words.classes + now, return_counts=True))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = [_summed(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield _pair_rows(*held.pop())
+        if held:
+            yield _pair_rows(*_summed(held))
+
+    counted = map_batches(texts.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("pair").to_numpy(), b.column("n").to_numpy(), b.column("block").to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            pairs, n, block = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(pairs)
+            row = [pa.array([int(block[0])], pa.int32()), pa.array([pairs[order].tobytes()], pa.binary()), pa.array([n[order].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["block", "pairs", "n"])
+
+    # a task holds a block: at most the square of the classes over BLOCKS, whatever the corpus
+    dealt = counted.withColumn("block", (F.floor(F.col("pair") / table.classes) % BLOCKS).cast("int")).repartitionById(BLOCKS, F.col("block"))
+    out = materialize(map_batches(dealt, pack, "block int, pairs binary, n binary"), "lm-pairs")
+    bound.destroy()
+    return out
+
+
+def _pair_rows(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+
+
+def _gradient_rows(row: dict, model: Model, log_noise: np.ndarray, classes: int) -> pa.RecordBatch:
+    """Gradient of a block, as bytes: of its contexts' q, and of r and b."""
+    pairs, n = np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["n"], np.int64)
+    contexts, starts = np.unique(pairs // classes, return_index=True)
+    starts = np.append(starts, len(pairs))
+    of_q, of_r, of_b = [], np.zeros_like(model.r, dtype=np.float64), np.zeros(classes)
+    for k in range(0, len(contexts), 64):
+        some = contexts[k : k + 64]
+        part = slice(starts[k], starts[min(k + 64, len(contexts))])
+        counts = np.zeros((len(some), classes), dtype=np.float32)
+        counts[np.searchsorted(some, pairs[part] // classes), pairs[part] % classes] = n[part]
+        q, r, b = nce_gradient(model, log_noise, some, counts)
+        of_q.append(q)
+        of_r += r
+        of_b += b
+    values = (contexts, np.concatenate(of_q).astype(np.float32), of_r.astype(np.float32), of_b)
+    names = ["block", "contexts", "q", "r", "b"]
+    return pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names)
+
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        weights: Counter = Counter()
+def train(texts: DataFrame, table: Table) -> Model:
+    """Trains on the pairs of all rows. A round brings the driver BLOCKS rows of as many numbers as r has."""
+    pairs, context = pair_counts(texts, table), texts.sparkSession.sparkContext
+    classes = table.classes
+    seen = np.zeros((2, classes))
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, tokens, values in zip(*(batch.column(c).to_pylist() for c in ("chunk", "tokens", "values")), strict=True):
-                part = np.frombuffer(values, np.float32).astype(np.float64) * tokens
-                sums[chunk] = sums[chunk] + part if chunk in sums else part
-                weights[chunk] += tokens
-        rows = sorted(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int32()), pa.array([(sums[k] / weights[k]).astype(np.float32).tobytes() for k in rows], pa.binary())], ["chunk", "values"]
-        )
-
-    chunks = -(-len(start.flat()) // CHUNK)
-    trained = texts.select("text").mapInArrow(run, "chunk int, tokens long, values binary")
-    # a task for each chunk, which holds its sum alone
-    rows = trained.repartitionById(chunks, F.col("chunk")).mapInArrow(add, "chunk int, values binary").collect()
-    if not rows:
-        return start.normalise()
-    flat = np.concatenate([np.frombuffer(bytes(r["values"]), np.float32) for r in sorted(rows, key=lambda r: r.chunk)])
-    return Model.of(flat).normalise()
+            for row in batch.to_pylist():
+                key, n = np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["n"], np.int64)
+                sums = [np.bincount(k, weights=n, minlength=classes).tobytes() for k in (key // classes, key % classes)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in sums], ["v", "w"])
+
+    for r in map_batches(pairs, totals, "v binary, w binary").collect():
+        seen += np.stack([np.frombuffer(bytes(x), np.float64) for x in (r.v, r.w)])
+    model = Model.start(table.unigram, seen[0] > 0)
+    log_noise = (np.log(table.unigram) + math.log(NOISE)).astype(np.float32)
+    steady = (seen + STEADY).astype(np.float32)
+    adam = Adam([model.q, model.r, model.b])
+    for step in range(ROUNDS if seen.any() else 0):
+        bound = context.broadcast((model, log_noise))
+
+        def run(batches: Iterator[pa.RecordBatch], bound=bound) -> Iterator[pa.RecordBatch]:
+            now, noise = bound.value
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield _gradient_rows(row, now, noise, classes)
+
+        found = map_batches(pairs, run, "block int, contexts binary, q binary, r binary, b binary").collect()
+        bound.destroy()
+        grads = [np.zeros_like(model.q), np.zeros(model.r.shape), np.zeros(classes)]
+        for row in sorted(found, key=lambda x: x.block):
+            grads[0][np.frombuffer(bytes(row.contexts), np.int64)] = np.frombuffer(bytes(row.q), np.float32).reshape(-1, WIDTH)
+            grads[1] += np.frombuffer(bytes(row.r), np.float32).reshape(-1, WIDTH)
+            grads[2] += np.frombuffer(bytes(row.b), np.float64)
+        adam.step([grads[0] / steady[0][:, None], (grads[1] / steady[1][:, None]).astype(np.float32), (grads[2] / steady[1]).astype(np.float32)], RATE * math.sqrt(1 - step / ROUNDS))
+    return model.normalise()
 
 
 def _first_pass(slim: DataFrame, table: Table, model: Model) -> DataFrame:
@@ -252,17 +329,18 @@ def _first_pass(slim: DataFrame, table: Table, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, fitted = bound.value
         places = numbers(words)
-        # log10 of the add-half probability of each word of the table; of one outside it so far zero; of the end, last
-        base = np.concatenate((np.log10((words.counts + 0.5) / words.base_total), [0.0, math.log10((words.end_count + 0.5) / words.base_total)]))
-        share = np.concatenate((np.log10((words.counts + 0.5) / words.rare_total), [0.0, 0.0]))
-        share[: words.size][words.class_of[: words.size] != RARE_ID] = 0.0
+        # log10 of the add-half probability of each word of the table; of one outside it but for its count; of the end
+        base = np.concatenate((np.log10((words.counts + 0.5) / words.base_total), [-math.log10(words.base_total), math.log10((words.end_count + 0.5) / words.base_total)]))
+        mass = np.log10(words.mass, out=np.zeros(words.classes), where=words.mass > 0)
+        alone = words.class_of[: words.size] <= words.frequent
+        # of a word's share of its class
+        share = np.concatenate((np.where(alone, 0.0, np.log10(words.counts + 0.5) - mass[words.class_of[: words.size]]), [0.0, 0.0]))
         known = np.concatenate((np.ones(words.size, np.int64), [0, words.end_count > 0]))
         first, done = TaskContext.get().partitionId() << 33, 0
-        for batch in merged(batches, "text", 4 << 20):
-            at, counts, outside = _token_ids(batch.column("text").to_pylist(), places, words.size)
-            before, now = _contexts(at, words)
+        for batch in merged(batches, "text", 2 << 20):
+            at, now, counts, outside = _tokens(batch.column("text").to_pylist(), places, words)
             starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-            logs = fitted.logs(before, now) / math.log(10) + share[at]
+            logs = fitted.logs(_before(now), now) / math.log(10) + share[at] - np.where(at == words.size, mass[now], 0.0)
             rare = [Counter(x) for x in outside]
             kinds = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
@@ -281,16 +359,18 @@ def _first_pass(slim: DataFrame, table: Table, model: Model) -> DataFrame:
             done += batch.num_rows
 
     schema = "row long, id long, learn boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,times:long>>"
-    return slim.mapInArrow(run, schema)
+    return map_batches(slim, run, schema)
 
 
 def fit(texts: DataFrame) -> tuple[DataFrame, Table, Model]:
     """Counts and trains on all rows of texts; the counts stay in the shared folder."""
     counts = materialize(word_counts(texts), "lm-counts")
-    totals = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     is_end = F.col("word") == F.lit(END)
+    kind = F.when(~is_end, F.pmod(F.crc32(F.substring("word", -ENDING_BYTES, ENDING_BYTES)), F.lit(ENDINGS)))
+    sums = counts.groupBy(kind.alias("kind")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # a row for each ending class
     top = counts.where(~is_end).orderBy(F.desc("n"), "word").limit(TOP).unionByName(counts.where(is_end)).toArrow()
-    table = Table(top["word"].to_pylist(), top["n"].to_pylist(), totals.n, totals.v)
+    by_ending = {r.kind: (r.n, r.v) for r in sums if r.kind is not None}
+    table = Table(top["word"].to_pylist(), top["n"].to_pylist(), sum(r.n for r in sums), sum(r.v for r in sums), by_ending)
     return counts, table, train(texts, table)
 
 
@@ -305,8 +385,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     c = F.coalesce(F.col("n"), F.lit(0))
     rest = found.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(table.base_total))).alias("more_base"),
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(table.rare_total))).alias("more_score"),
+        F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"),
     )
     both = first.drop("rare").join(rest, "row", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
@@ -316,14 +395,14 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         "n_tokens",
         (F.col("n_known") + zero("more_known")).alias("n_known"),
         F.lit(table.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero("more_base")).alias("base_score"),
-        (F.col("score") + zero("more_score")).alias("score"),
+        (F.col("base_score") + zero("more")).alias("base_score"),
+        (F.col("score") + zero("more")).alias("score"),
     )
 
 
 def fold(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5: rows of remainder 1 are held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5, F.lit(0))
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 5, F.lit(0))
 
 
 def op10_lm(spark, sf_dir: str) -> DataFrame:
