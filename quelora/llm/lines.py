@@ -1,23 +1,25 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines of three words or more take part. Equal lines are one class, and so are lines of ``NEAR_CHARS`` characters or
-more that are at most ``EDITS`` edits apart, and what they reach. Of each class the first line in document order
-stays (by id, then text hash, then line number); all others are deleted.
+Lines that aren't blank take part. Equal lines are one class, and so are lines within the edit threshold, and what they
+reach. The threshold of two lines is an edit for each ``EDIT_CHARS`` characters of the shorter, ``EDITS`` at most. Of each
+class the first line in document order stays (by id, then the hashes of id and text, then line number); all others are
+deleted.
 
-The join cuts each line into EDITS + 1 segments of even length; two lines within the distance share a segment, at a
+The join cuts each line into segments, one more than its threshold; two lines within the distance share a segment, at a
 place that the length difference and the segment's number confine to a few starts. Each line is indexed under its own
-segments and probes those starts for each length from its own down to EDITS less. Keys are hashes of length, segment
-number and content; keys that only one line has are dropped, and the members of the others are verified by a banded
-bit-parallel edit distance.
+segments and probes those starts for each length from its own down to EDITS less, by the partition of lines of that
+length. Keys are hashes of length, segment number and content; keys that only one line has are dropped, and the members
+of the others are verified by a banded bit-parallel edit distance.
 
-A key that more than ``BUCKET`` lines share isn't gathered. Its members are cut again: what a line holds besides the
-shared segment goes through the same partition, under the key, so lines part further at each level. The rest shrinks
-until it is short, where lines link by equal variants with up to two characters wild or deleted, which is exact and
-needs no bucket. No line and no link is lost. A bucket yields a star for each connected part, not pairs, and components come from the shared
-folder.
+Keys are counted before their members meet, so none is gathered unless it is small. A key that more than ``BUCKET`` lines
+share has its members cut again: what a line holds besides the shared segment goes through the same partition, under the
+key, so lines part further at each level. The rest shrinks until it is short, where lines link by equal variants with up
+to two characters wild or deleted, which is exact and needs no bucket. No line and no link is lost. A bucket yields a star
+for each connected part, not pairs, and components come from the shared folder. Lines are named by 128 bits, and those
+that meet by numbers of their own.
 
 Defined results: a null text stays null and has no lines; rows that repeat both id and text lose the same lines; a
-document may become empty; other columns are carried by ``dedup_lines``.
+document may become empty; other columns are carried by ``dedup_lines``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quelora.llm.common import blocks, materialize
+from quelora.llm.common import blocks, identity, in_filter, key_filter, map_batches, materialize, packed, release
 from quelora.llm.components import connected_components
 
 EDITS = 2
-NEAR_CHARS = 40
-MIN_WORDS = 3
+EDIT_CHARS = 20
 #: Lines that are verified against each other at one key.
 BUCKET = 1024
 #: Length up to which what is left of a line is linked by its variants.
@@ -47,7 +48,12 @@ CUT = "\x00"
 WILD = "\udc80"
 
 
-def segments(length: int, parts: int = EDITS + 1) -> list[tuple[int, int]]:
+def threshold(length: int) -> int:
+    """Edits that may part a line of this length from one that is as long or longer."""
+    return min(EDITS, length // EDIT_CHARS)
+
+
+def segments(length: int, parts: int) -> list[tuple[int, int]]:
     """(start, length) of the even partition; the later segments are the longer ones."""
     short, longer = divmod(length, parts)
     out, at = [], 0
@@ -58,40 +64,47 @@ def segments(length: int, parts: int = EDITS + 1) -> list[tuple[int, int]]:
     return out
 
 
-def probes(length: int, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
-    """(length probed, segment number, start in the line, segment length): where a line can hold a segment of a line
-    that is ``edits`` shorter at most. The bounds are those that both the edits before and after the segment allow."""
+def probes(length: int, edits: int | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(length probed, segment number, start in the line, segment length, edits): where a line can hold a segment of one
+    that is as long or shorter, for the threshold of that length or for ``edits``. The bounds are those that both the
+    edits before and after the segment allow."""
     out = []
-    for less in range(edits + 1):
-        if length - less <= edits:
+    for less in range((EDITS if edits is None else edits) + 1):
+        most = threshold(length - less) if edits is None else edits
+        if less > most or not most or length - less <= most:
             continue
-        for k, (start, size) in enumerate(segments(length - less, edits + 1)):
-            low = max(0, start - k, start + less - (edits - k))
-            high = min(length - size, start + k, start + less + (edits - k))
-            out += [(length - less, k, at, size) for at in range(low, high + 1)]
+        for k, (start, size) in enumerate(segments(length - less, most + 1)):
+            low = max(0, start - k, start + less - (most - k))
+            high = min(length - size, start + k, start + less + (most - k))
+            out += [(length - less, k, at, size, most) for at in range(low, high + 1)]
     return out
 
 
-_PROBES: dict[int, list[tuple[int, int, int, int, bool]]] = {}
+_PLANS: dict[tuple[int, int | None], list[tuple[int, bool, int, int, int]]] = {}
 
 
-def signatures(line: str, salt: int = 0) -> list[tuple[int, bool, int, int]]:
-    """(key, whether it is one of the line's own segments, start, size)."""
-    plan = _PROBES.get(len(line))
-    if plan is None:
-        own = {(len(line), k, start, size) for k, (start, size) in enumerate(segments(len(line)))}
-        plan = [(*p, p in own) for p in probes(len(line))]
-        if len(_PROBES) < 20_000:
-            _PROBES[len(line)] = plan
-    digest = xxhash.xxh64_intdigest
-    out = []
-    for length, k, start, size, own in plan:
-        key = digest(line[start : start + size].encode("utf-8", "surrogatepass"), (salt * 31 + length * 8 + k) & 0xFFFFFFFF)
-        out.append((key - (key >> 63 << 64), own, start, size))
-    return out
+def _plan(length: int, edits: int | None) -> list[tuple[int, bool, int, int, int]]:
+    """(seed, whether it is one of the line's own segments, start, end, edits)."""
+    found = _PLANS.get((length, edits))
+    if found is None:
+        own = {(length, k, start) for k, (start, _) in enumerate(segments(length, (threshold(length) if edits is None else edits) + 1))}
+        found = [(size_of * 8 + k, (size_of, k, at) in own, at, at + size, most) for size_of, k, at, size, most in probes(length, edits)]
+        if len(_PLANS) < 2_000:
+            _PLANS[length, edits] = found
+    return found
 
 
-def within(a: str, b: str, edits: int = EDITS) -> bool:
+def signatures(line: str, salt: int = 0, edits: int | None = None) -> list[tuple[int, bool, int, int, int]]:
+    """(key, whether it is one of the line's own segments, start, end, edits) of a line; with ``edits`` for that many,
+    whatever the length. Keys are unsigned."""
+    digest, salt = xxhash.xxh64_intdigest, salt * 31
+    if line.isascii():
+        raw = line.encode()
+        return [(digest(raw[a:b], (salt + seed) & 0xFFFFFFFF), own, a, b, n) for seed, own, a, b, n in _plan(len(line), edits)]
+    return [(digest(line[a:b].encode("utf-8", "surrogatepass"), (salt + seed) & 0xFFFFFFFF), own, a, b, n) for seed, own, a, b, n in _plan(len(line), edits)]
+
+
+def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most ``edits``, by bit-parallel columns over a diagonal band."""
     if len(a) < len(b):
         a, b = b, a
@@ -165,82 +178,91 @@ def _long(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
-def line_id(line: str) -> tuple[int, int]:
-    """128 bits of a line as two signed longs."""
-    value = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-    return _long(value >> 64), _long(value & (1 << 64) - 1)
+def line_ids(lines: list[str]) -> np.ndarray:
+    """[line, 2]: 128 bits of each line as two signed longs."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=">i8").astype(np.int64).reshape(-1, 2)
 
 
 def takes_part(line: str) -> bool:
-    return len(line.split(None, MIN_WORDS)) >= MIN_WORDS
+    return bool(line.strip(" \t\n\x0b\x0c\r"))
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, doc (hash of id and text) and text."""
-    text = F.col(f"`{text_col}`").cast("string")
-    key = F.col(f"`{id_col}`").cast("long")
-    return docs.select(key.alias("id"), F.xxhash64(key, text).alias("doc"), text.alias("text"))
+    """id, a and b (the hashes of id and text) and text."""
+    a, b = identity(id_col, text_col)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), a.alias("a"), b.alias("b"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def line_table(rows: DataFrame) -> DataFrame:
-    """(id, doc, n_lines, lines: array of (no, a, b)) of each document: its lines that take part."""
+    """(id, a, b, n_lines, lines: array of (no, x, y)) of each document: its lines that take part, by their 128 bits."""
+    kind = pa.struct([("no", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("no", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
-        for batch in blocks(batches, "text", 4 << 20):
-            counts, found = [], []
+        for batch in blocks(batches, "text", 2 << 20):
+            counts, ends, numbers, found = [], [0], [], []
             for text in batch.column("text").to_pylist():
                 lines = text.split("\n") if text else []
+                taken = [k for k, x in enumerate(lines) if takes_part(x)]
+                numbers += taken
+                found += [lines[k] for k in taken]
                 counts.append(len(lines))
-                found.append([dict(zip(("no", "a", "b"), (k, *line_id(x)), strict=True)) for k, x in enumerate(lines) if takes_part(x)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc"), pa.array(counts, pa.int32()), pa.array(found, kind)], ["id", "doc", "n_lines", "lines"])
+                ends.append(len(found))
+            ids = line_ids(found)
+            parts = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy())], fields=list(kind))
+            columns = [*(batch.column(c) for c in ("id", "a", "b")), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "a", "b", "n_lines", "lines"])
 
-    return rows.mapInArrow(run, "id long, doc long, n_lines int, lines array<struct<no:int,a:long,b:long>>")
+    return map_batches(rows, run, "id long, a long, b long, n_lines int, lines array<struct<no:int,x:long,y:long>>")
 
 
-def _signature_rows(rows: DataFrame) -> DataFrame:
-    """(key, own, line, start, size) of the lines long enough for near matches; a block's repeated lines go once."""
+def _near_lines(batch: pa.RecordBatch) -> list[str]:
+    """The distinct lines of a block that may have near ones."""
+    return [x for x in {x for t in batch.column("text").to_pylist() if t for x in t.split("\n")} if threshold(len(x)) and takes_part(x)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 4 << 20):
-            lines = {x for t in batch.column("text").to_pylist() if t for x in t.split("\n") if len(x) >= NEAR_CHARS and takes_part(x)}
-            yield _signature_batch([(line_id(x)[0], x, 0) for x in lines])
-
-    return rows.select("text").mapInArrow(run, "key long, own boolean, line long, start int, size int")
 
+def _signature_rows(rows: DataFrame) -> DataFrame:
+    """(key, own, line) of the lines long enough for near matches; a block's repeated lines go once."""
 
-def _signature_batch(lines: list[tuple[int, str, int]]) -> pa.RecordBatch:
-    keys, own, ids, starts, sizes = [], [], [], [], []
-    for line, text, salt in lines:
-        for key, mine, start, size in signatures(text, salt):
-            keys.append(key)
-            own.append(mine)
-            ids.append(line)
-            starts.append(start)
-            sizes.append(size)
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, own, ids, starts, sizes), kinds, strict=True)], ["key", "own", "line", "start", "size"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 2 << 20):
+            lines = _near_lines(batch)
+            keys, own, counts = [], [], []
+            for x in lines:
+                found = signatures(x)
+                counts.append(len(found))
+                keys += [f[0] for f in found]
+                own += [f[1] for f in found]
+            ids = np.repeat(line_ids(lines)[:, 0], counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(own, pa.bool_()), pa.array(ids)], ["key", "own", "line"])
 
+    return map_batches(rows.select("text"), run, "key long, own boolean, line long")
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose key several lines have, at least one as its own segment, with their number n."""
-    from pyspark.sql import Window
 
-    of = Window.partitionBy("key")
-    marked = rows.withColumns({"n": F.count("*").over(of), "lo": F.min("line").over(of), "hi": F.max("line").over(of), "any": F.max("own").over(of)})
-    return marked.where(F.col("any") & (F.col("lo") < F.col("hi"))).drop("lo", "hi", "any")
+def _shared(rows: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, line, ...) of keys that several lines have, at least one as its own segment, with the number n of its
+    lines. A key's rows are only counted and joined with the counts, never gathered."""
+    keys = rows.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.max("own").alias("any")).where("any AND lo < hi").select("key")
+    met = materialize(rows.select("key", "line", *carried).join(keys, "key").dropDuplicates(["key", "line", *carried]), "lines-met")
+    sizes = met.groupBy("key").agg(F.count("*").alias("n"))
+    return met.join(sizes, "key")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, text) of the wanted lines."""
+    """(line, y, node, text) of the wanted lines: their bits, a number of their own, and the text. Lines that aren't
+    wanted don't move."""
+    bound = rows.sparkSession.sparkContext.broadcast(key_filter(wanted, "line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 4 << 20):
-            lines = list({x for t in batch.column("text").to_pylist() if t for x in t.split("\n") if len(x) >= NEAR_CHARS and takes_part(x)})
-            yield pa.RecordBatch.from_arrays([pa.array([line_id(x)[0] for x in lines], pa.int64()), pa.array(lines, pa.string())], ["line", "text"])
+        for batch in blocks(batches, "text", 2 << 20):
+            lines = _near_lines(batch)
+            ids = line_ids(lines)
+            at = np.flatnonzero(in_filter(bound.value, ids[:, 0]))
+            columns = [pa.array(ids[at, 0]), pa.array(ids[at, 1]), pa.array([lines[k] for k in at], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["line", "y", "text"])
 
-    every = rows.select("text").mapInArrow(run, "line long, text string")
-    return every.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
+    every = map_batches(rows.select("text"), run, "line long, y long, text string")
+    found = every.join(wanted, "line", "left_semi").dropDuplicates(["line", "y"])
+    return materialize(found.withColumn("node", F.monotonically_increasing_id()), "lines-text")
 
 
 def stars(lines: list[int], texts: list[str]) -> list[tuple[int, int]]:
@@ -256,7 +278,7 @@ def stars(lines: list[int], texts: list[str]) -> list[tuple[int, int]]:
     for i in range(len(lines)):
         for j in range(i):
             x, y = find(i), find(j)
-            if x != y and within(texts[i], texts[j]):
+            if x != y and within(texts[i], texts[j], threshold(min(len(texts[i]), len(texts[j])))):
                 root[max(x, y)] = min(x, y)
     least: dict[int, int] = {}
     for k, line in enumerate(lines):
@@ -264,26 +286,30 @@ def stars(lines: list[int], texts: list[str]) -> list[tuple[int, int]]:
     return [(line, least[find(k)]) for k, line in enumerate(lines) if line != least[find(k)]]
 
 
-def _verified(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Star edges (a, b) of sets (members: array of lines)."""
+def _verified(members: DataFrame, of: str, texts: DataFrame) -> DataFrame:
+    """Star edges (a, b) between the nodes of small buckets; members: (key, line), line being the texts' column ``of``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            for members in batch.column("members").to_pylist():
-                edges += stars([m["line"] for m in members], [m["text"] for m in members])
+            for found in batch.column("members").to_pylist():
+                edges += stars([m["node"] for m in found], [m["text"] for m in found])
             a, b = zip(*edges, strict=True) if edges else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    members = sets.select(F.explode("lines").alias("line"), F.xxhash64("lines").alias("set")).join(texts, "line")
-    groups = members.groupBy("set").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("members"))
-    return groups.select("members").mapInArrow(run, "a long, b long").distinct()
+    # many keys have the same lines
+    sets = members.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines")).select("lines").distinct()
+    each = sets.select(F.explode("lines").alias("line"), F.xxhash64("lines").alias("set"))
+    met = each.join(texts.select(F.col(of).alias("line"), F.col("node").alias("number"), "text"), "line")
+    groups = met.groupBy("set").agg(F.sort_array(F.collect_list(F.struct(F.col("number").alias("node"), "text"))).alias("members"))
+    return map_batches(groups.select("members"), run, "a long, b long").distinct()
 
 
-def neighbours(text: str) -> list[tuple[str, bool]]:
-    """(variant, whether it may be the centre) of a short text, for two edits. A variant has up to two characters
-    wild or deleted. Two texts are within two edits exactly if they share a variant of which one may be the centre:
-    of those with one character wild or two deleted only a text that deletes nothing may."""
+def neighbours(text: str, edits: int = 2) -> list[tuple[str, bool]]:
+    """(variant, whether it may be the centre) of a short text, for one or two edits. A variant has up to that many
+    characters wild or deleted. Two texts are within the edits exactly if they share a variant of which one may be the
+    centre: of those that delete as many characters as there are edits, or one besides a wild one, only a text that
+    deletes nothing may."""
     n, out = len(text), {}
     cut = lambda k, by="": text[:k] + by + text[k + 1 :]
 
@@ -291,6 +317,11 @@ def neighbours(text: str) -> list[tuple[str, bool]]:
         out[tag + variant] = out.get(tag + variant, False) or centre
 
     add("a", text, True)
+    if edits == 1:
+        for j in range(n):
+            add("a", cut(j), False)
+            add("c", cut(j, WILD), True)
+        return list(out.items())
     add("b", text, True)
     for j in range(n):
         add("a", cut(j), True)
@@ -305,121 +336,139 @@ def neighbours(text: str) -> list[tuple[str, bool]]:
     return list(out.items())
 
 
-def _rest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For members (key, line, text, start, size) of large buckets: signature rows under their key of what the line
-    holds besides the shared segment (with that text), and star edges of the members whose rest is short. The two
-    ranges of lengths overlap by EDITS, so every pair is in one of them."""
+_LEVEL = [("key", pa.int64()), ("own", pa.bool_()), ("line", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32()), ("text", pa.string())]
+_LEVEL_SCHEMA = "key long, own boolean, line long, start int, stop int, edits int, text string"
+
 
-    def cut(row: dict) -> str:
-        return row["text"][: row["start"]] + CUT + row["text"][row["start"] + row["size"] :]
+def _level_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_LEVEL)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _LEVEL, strict=True)], [n for n, _ in _LEVEL])
+
+
+def _places(members: DataFrame) -> DataFrame:
+    """The places in the texts of members (key, node, text) that give their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                rows += [(r["key"], own, r["node"], start, stop, n, r["text"]) for k, own, start, stop, n in signatures(r["text"]) if _long(k) == r["key"]]
+            yield _level_batch(rows)
+
+    return map_batches(members.select("key", "node", "text"), run, _LEVEL_SCHEMA)
+
+
+def _rest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For members (as _places gives them) of large buckets: signature rows under their key of what the line holds
+    besides the shared segment (with that text), and star edges of the members whose rest is short. The two ranges of
+    lengths overlap by the edits, so every pair is in one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string())
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
-                columns: tuple[list, ...] = ([], [], [], [], [], [])
+                found = []
                 for r in batch.slice(first, 256).to_pylist():
-                    text, key, found = cut(r), r["key"], []
+                    text, key, n = r["text"][: r["start"]] + CUT + r["text"][r["stop"] :], r["key"], r["edits"]
                     if len(text) > SHORT:
-                        found += [(k ^ key, own, r["line"], start, size, text) for k, own, start, size in signatures(text, key & 0x7FFFFFFF)]
-                    if len(text) <= SHORT + EDITS:
-                        digest = lambda v, key=key: _long(xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), key & (1 << 64) - 1))
-                        found += [(digest(v), None, r["line"], int(not centre), 0, "") for v, centre in neighbours(text)]
-                    for row in found:
-                        for c, v in zip(columns, row, strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "own", "line", "start", "size", "text"])
-
-    found = materialize(rows.select("key", "line", "text", "start", "size").mapInArrow(run, "key long, own boolean, line long, start int, size int, text string"), "lines-rest")
+                        found += [(_long(k) ^ key, own, r["line"], start, stop, n, text) for k, own, start, stop, _ in signatures(text, key & 0x7FFFFFFF, n)]
+                    if len(text) <= SHORT + n:
+                        seed = key & (1 << 64) - 1
+                        for variant, centre in neighbours(text, n):
+                            found.append((_long(xxhash.xxh64_intdigest(variant.encode("utf-8", "surrogatepass"), seed)), None, r["line"], int(not centre), 0, n, ""))
+                yield _level_batch(found)
+
+    found = materialize(map_batches(rows, run, _LEVEL_SCHEMA), "lines-rest")
     short = found.where("own IS NULL")
     centres = short.where("start = 0").groupBy("key").agg(F.min("line").alias("b"))
     edges = short.join(centres, "key").select(F.col("line").alias("a"), "b").where("a <> b").distinct()
     return found.where("own IS NOT NULL"), edges
 
 
-def near_edges(rows: DataFrame) -> DataFrame:
-    """Edges between distinct lines that connect them as all pairs within the distance do."""
+def near_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges between distinct lines that connect them as all pairs within the distance do, and the lines' texts."""
     shared = materialize(_shared(_signature_rows(rows)), "lines-shared")
-    texts = materialize(_texts(rows, shared.select("line").distinct()), "lines-text")
-    found: DataFrame | None = None
-    level = shared.join(texts, "line") if shared.where(F.col("n") > BUCKET).limit(1).count() else shared
+    texts = _texts(rows, shared.select("line").distinct())
+    found = _verified(shared.where(F.col("n") <= BUCKET), "line", texts)
+    large = shared.where(F.col("n") > BUCKET)
+    if not large.limit(1).count():
+        return found, texts
+    level = materialize(_places(large.join(texts, "line")), "lines-level")
     while True:
-        sets = level.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-        edges = _verified(sets.select("lines").distinct(), texts)
-        found = edges if found is None else found.unionByName(edges)
-        large = level.where(F.col("n") > BUCKET)
-        if "text" not in level.columns or not large.limit(1).count():
-            return found
-        rest, more = _rest(large)
-        found = found.unionByName(more)
-        level = materialize(_shared(rest), "lines-level")
-
-
-def classes(table: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc, no) of the first line of each class; parts are the components of the near links."""
-    each = table.select("id", "doc", F.explode("lines").alias("x")).select("id", "doc", "x.*")
-    distinct = each.groupBy("a", "b").agg(F.min(F.struct("id", "doc", "no")).alias("first"))
-    linked = distinct.join(parts, distinct["a"] == parts["node"], "left")
-    alone = linked.where("part IS NULL").select("first")
-    joined = linked.where("part IS NOT NULL").groupBy("part").agg(F.min("first").alias("first"))
-    return alone.unionByName(joined.select("first")).select("first.doc", "first.no")
-
-
-def _kept(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The line table, for each document the numbers of its lines that are first in their class, and the components of
-    the near links."""
-    rows = _documents(docs, id_col, text_col)
-    table = materialize(line_table(rows), "lines-table")
-    parts = connected_components(materialize(near_edges(rows), "lines-edges"))
-    return table, classes(table, parts).groupBy("doc").agg(F.collect_set("no").alias("firsts")), parts
+        rest, edges = _rest(level)
+        shared = materialize(_shared(rest.select("*"), ("own", "start", "stop", "edits", "text")), "lines-shared")
+        found = found.unionByName(edges).unionByName(_verified(shared.where(F.col("n") <= BUCKET), "node", texts))
+        level = shared.where(F.col("n") > BUCKET).drop("n")
+        if not level.limit(1).count():
+            return found, texts
 
 
-def _members(table: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc, near, n_links) of each document with near lines: the class of each such line, by its number, and to how
-    many other distinct lines they link, directly or by others."""
-    parts = materialize(parts, "lines-parts")
-    sizes = parts.groupBy("part").agg((F.count("*") - 1).alias("n_links"))
-    classed = materialize(parts.join(sizes, "part"), "lines-classes")
-    each = table.dropDuplicates(["doc"]).select("doc", F.explode("lines").alias("x")).select("doc", "x.no", "x.a")
-    found = each.join(classed, each["a"] == classed["node"]).groupBy("doc")
-    return found.agg(F.map_from_entries(F.collect_list(F.struct("no", "part"))).alias("near"), F.sum("n_links").alias("n_links"))
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The line table, and for each document (a, b) its lines in classes of several: an array of (no, class_id, kept_id,
+    kept_no, dropped, n_links)."""
+    rows = _documents(docs, id_col, text_col)
+    table = materialize(line_table(rows), "lines-table")
+    edges, texts = near_edges(rows)
+    parts = connected_components(materialize(edges, "lines-edges"))
+    near = materialize(parts.join(texts.select("node", F.col("line").alias("x"), "y"), "node").select("x", "y", "part"), "lines-parts")
+    each = table.dropDuplicates(["a", "b"]).select("id", "a", "b", F.explode("lines").alias("l")).select("id", "a", "b", "l.no", "l.x", "l.y")
+    place = F.struct("id", "a", "b", "no")
+    distinct = each.groupBy("x", "y").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(near, ["x", "y"], "left")
+    alone = distinct.where("part IS NULL AND n > 1").select("x", "y", F.col("x").alias("class_id"), "first", F.lit(0).cast("long").alias("n_links"))
+    linked = materialize(distinct.where("part IS NOT NULL").select("x", "y", "part", "first"), "lines-linked")
+    firsts = linked.groupBy("part").agg(F.min(F.struct("first", "x")).alias("least"), (F.count("*") - 1).alias("n_links"))
+    joined = linked.drop("first").join(firsts, "part").select("x", "y", F.col("least.x").alias("class_id"), F.col("least.first").alias("first"), "n_links")
+    several = materialize(alone.unionByName(joined), "lines-classes")
+    line = F.struct("no", "class_id", F.col("first.id").alias("kept_id"), F.col("first.no").alias("kept_no"), (place != F.col("first")).alias("dropped"), "n_links")
+    found = each.join(several, ["x", "y"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(line)).alias("found"))
+    found = materialize(found, "lines-found")
+    release(texts, linked, several)
+    return table, found
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_lines, n_dropped, dropped (line numbers, ascending), classes (number and class_id of each line that takes
-    part; lines of one class have one class_id) and n_links (other distinct lines in the classes of its near lines, for
-    each such line)."""
-    table, first, parts = _kept(docs, id_col, text_col)
-    numbers = F.transform("lines", lambda x: x["no"])
-    dropped = F.array_sort(F.array_except(numbers, F.coalesce("firsts", F.array().cast("array<int>"))))
-    out = table.join(first, "doc", "left").join(_members(table, parts), "doc", "left").withColumn("dropped", dropped)
-    of = F.transform("lines", lambda x: F.struct(x["no"].alias("no"), F.coalesce(F.try_element_at("near", x["no"]), x["a"]).alias("class_id")))
-    return out.select("id", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), "dropped", of.alias("classes"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """id, n_lines, n_dropped, dropped (line numbers, ascending), kept (for each of these the document and line that
+    stays of its class), classes (number and class_id of each line that takes part; lines of one class have one class_id)
+    and n_links (other distinct lines in the classes of its near lines, for each such line)."""
+    table, found = _classed(docs, id_col, text_col)
+    out = table.join(found, ["a", "b"], "left")
+    none = F.array().cast(found.schema["found"].dataType)
+    out = out.withColumn("found", F.coalesce("found", none))
+    gone = F.filter("found", lambda x: x["dropped"])
+    named = F.map_from_entries(F.transform("found", lambda x: F.struct(x["no"], x["class_id"])))
+    return out.select(
+        "id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_dropped"),
+        F.transform(gone, lambda x: x["no"]).alias("dropped"),
+        F.transform(gone, lambda x: F.struct(x["kept_id"].alias("id"), x["kept_no"].alias("no"))).alias("kept"),
+        F.transform("lines", lambda x: F.struct(x["no"].alias("no"), F.coalesce(F.try_element_at(named, x["no"]), x["x"]).alias("class_id"))).alias("classes"),
+        F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + x["n_links"]).alias("n_links"),
+    )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines taken out of their texts."""
-    table, first, _ = _kept(docs, id_col, text_col)
-    numbers = F.transform("lines", lambda x: x["no"])
-    drop = table.join(first, "doc", "left").select("doc", F.array_except(numbers, F.coalesce("firsts", F.array().cast("array<int>"))).alias("__drop")).where(F.size("__drop") > 0)
-    text, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
-    named = docs.withColumn("__doc", F.xxhash64(key, text)).join(drop.dropDuplicates(["doc"]).withColumnRenamed("doc", "__doc"), "__doc", "left")
+    found = _classed(docs, id_col, text_col)[1]
+    drop = found.select("a", "b", F.transform(F.filter("found", lambda x: x["dropped"]), lambda x: x["no"]).alias("drop")).where(F.size("drop") > 0)
+    a, b = identity(id_col, text_col)
     columns = docs.columns
+    named = packed(docs, a=a, b=b, text=F.col(f"`{text_col}`").cast("string")).join(drop, ["a", "b"], "left").select("row", "text", "drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text_col):
+        for batch in blocks(batches, "text", 2 << 20):
             texts = []
-            for t, drops in zip(batch.column(text_col).to_pylist(), batch.column("__drop").to_pylist(), strict=True):
+            for t, drops in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist(), strict=True):
                 gone = set(drops or ())
                 texts.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone) if gone else t)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in columns], columns)
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else row.field(k) for k, c in enumerate(columns)], columns)
 
     schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields])
-    return named.select(*(F.col(f"`{c}`") for c in columns), "__drop").mapInArrow(run, schema)
+    return map_batches(named, run, schema)
 
 
 def op6_lines(spark, sf_dir: str) -> DataFrame:
-    """Every line of every document, two edits."""
+    """Every line of every document, up to two edits."""
     from quelora.llm.common import table
 
     return line_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -11,7 +11,8 @@ def test_every_member_of_a_class_is_named(spark):
     found = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(found) == len(rows)
     ids = {(r["id"], c["no"]): c["class_id"] for r in found for c in r["classes"]}
-    assert set(ids) == {(0, 0), (0, 1), (1, 1), (1, 2), (2, 0), (3, 0), (6, 0)}
+    assert set(ids) == {(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 0), (3, 0), (4, 0), (6, 0)}
+    assert ids[1, 0] == ids[4, 0]
     assert ids[0, 0] == ids[1, 1] == ids[2, 0] == ids[6, 0] and ids[0, 1] == ids[3, 0]
-    assert len(set(ids.values())) == 3
+    assert len(set(ids.values())) == 4
     assert {r["id"]: r["n_links"] for r in found} == {0: 2, 1: 2, 2: 2, 3: 0, 4: 0, 5: 0, 6: 2}
