@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quelora.llm.common import BLOCK_BYTES, merged
+from quelora.llm.common import map_batches, merged
 from quelora.llm.pieces import Vocabulary, model_path, vocabulary
 
 #: Distinct parts that a task remembers between blocks.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+#: Text bytes that are encoded at a time.
+BLOCK_BYTES = 2 << 20
 _PARTS = re.compile("[ \n][^ \n]*")
 
 
@@ -95,6 +97,15 @@ class Encoder:
         return raw[1:].decode("utf-8", "surrogatepass")  # without the mark at the start
 
 
+def _coded(found: list[bytes | None]) -> tuple[pa.ListArray, pa.Array, pa.Array]:
+    """Ids, their numbers and the checksums of encoded texts."""
+    ends = np.cumsum([0, *(len(x or b"") // 4 for x in found)])
+    flat = np.frombuffer(b"".join(x or b"" for x in found), dtype="<u4").astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([x is None for x in found]))
+    counts = pa.array([None if x is None else len(x) // 4 for x in found], pa.int64())
+    return lists, counts, pa.array([None if x is None else zlib.crc32(x) for x in found], pa.int64())
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """Adds piece_ids (array of int), n_pieces and ids_crc32 (unsigned, of the ids as little-endian 32-bit
     integers) to every row, in place of any columns of these names."""
@@ -105,24 +116,19 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in merged(batches, text_col, BLOCK_BYTES // 4):
-            found = encoder.encode(batch.column(text_col).to_pylist())
-            ends = np.cumsum([0, *(len(x or b"") // 4 for x in found)])
-            flat = np.frombuffer(b"".join(x or b"" for x in found), dtype="<u4").astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([x is None for x in found]))
-            counts = pa.array([None if x is None else len(x) // 4 for x in found], pa.int64())
-            sums = pa.array([None if x is None else zlib.crc32(x) for x in found], pa.int64())
+        for batch in merged(batches, text_col, BLOCK_BYTES):
+            lists, counts, sums = _coded(encoder.encode(batch.column(text_col).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, counts, sums], [*batch.schema.names, *outputs])
 
     schema = T.StructType(list(source.schema.fields))
     schema = schema.add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", T.LongType()).add("ids_crc32", T.LongType())
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def decode(rows: DataFrame, ids_col: str = "piece_ids", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Adds the text that the ids stand for, in place of any column of its name."""
     path = path or model_path()
-    kept = [c for c in rows.columns if c != text_col]
+    kept = [c for c in rows.columns if c.lower() != text_col.lower()]
     source = rows.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,25 +140,33 @@ def decode(rows: DataFrame, ids_col: str = "piece_ids", text_col: str = "text",
             texts = [None if m else encoder.decode(values[a:b]) for a, b, m in zip(ends[:-1], ends[1:], missing, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text_col])
 
-    return source.mapInArrow(run, T.StructType(list(source.schema.fields)).add(text_col, T.StringType()))
+    return map_batches(source, run, T.StructType(list(source.schema.fields)).add(text_col, T.StringType()))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """id, piece_ids, n_pieces, ids_crc32, n_bytes and text_crc32 of the decoded text, and whether it is the given
-    text."""
-    text = F.col(f"`{text_col}`").cast("string")
-    slim = docs.select(F.col(f"`{id_col}`").alias(id_col), text.alias("text"), F.crc32(text).alias("given_crc32"), F.octet_length(text).alias("given_bytes"))
-    back = decode(encode(slim, path=path).drop("text"), path=path)
-    same = F.col("given_crc32").eqNullSafe(F.crc32("text")) & F.col("given_bytes").eqNullSafe(F.octet_length("text"))
-    return back.select(
-        id_col,
-        "piece_ids",
-        "n_pieces",
-        "ids_crc32",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.crc32("text").alias("text_crc32"),
-        same.alias("round_trip"),
-    )
+    """id, piece_ids, n_pieces, ids_crc32, n_bytes and text_crc32 of the text that the ids decode to, and whether it is
+    the given text. One pass of one worker: what is decoded is the ids that are returned."""
+    path = path or model_path()
+    slim = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    outputs = {"piece_ids": "array<int>", "n_pieces": "long", "ids_crc32": "long", "n_bytes": "long", "text_crc32": "long", "round_trip": "boolean"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
+        for batch in merged(batches, "__text", BLOCK_BYTES):
+            texts = batch.column("__text").to_pylist()
+            lists, counts, sums = _coded(encoder.encode(texts))
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            back = [None if t is None else encoder.decode(flat[ends[k] : ends[k + 1]]) for k, t in enumerate(texts)]
+            raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in back]
+            checks = [
+                pa.array([None if x is None else len(x) for x in raw], pa.int64()),
+                pa.array([None if x is None else zlib.crc32(x) for x in raw], pa.int64()),
+                pa.array([x == t for x, t in zip(back, texts, strict=True)]),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, counts, sums, *checks], [id_col, *outputs])
+
+    schema = T.StructType([slim.schema[0], *T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in outputs.items())).fields])
+    return map_batches(slim, run, schema)
 
 
 def op9_encode(spark, sf_dir: str) -> DataFrame:

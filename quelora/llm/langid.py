@@ -11,7 +11,8 @@ by expectation maximisation: forward and backward sums give each piece's expecte
 one number for each language and piece. Everything else covers all rows and whole texts.
 
 All words of a block are swept together: the sums of all words at one position are one numpy step, and each distinct
-word is computed once and remembered. Characters without a piece cost the same in every language.
+word is computed once and remembered. Characters without a piece cost the same in every language. A
+word of over ``LONG_WORD`` characters counts as several, so an endless one needs no more memory than others.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was
 learned; repeated rows each get a result; other columns are not read.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quelora.llm.common import blocks, materialize, merged
+from quelora.llm.common import blocks, map_batches, materialize, merged
 from quelora.llm.pieces import Vocabulary, model_path, vocabulary
 
 #: Labelled documents of each language that training reads, about.
@@ -38,7 +39,9 @@ ROUNDS = 2
 UNKNOWN = -25.0
 #: Pseudo-count of each piece, shared out by the vocabulary's own probabilities.
 SMOOTH = 2_000.0
-REMEMBERED = 150_000
+REMEMBERED = 100_000
+#: Characters from which a word is cut into several, so that one endless word needs bounded memory.
+LONG_WORD = 512
 UND = "und"
 
 _SHIFT = np.uint64(0x9E3779B97F4A7C15)
@@ -117,7 +120,7 @@ class Pieces:
         return (out, sums, scales) if keep else out
 
 
-def by_length(words: list[str], most: int = 1 << 19) -> Iterator[list[int]]:
+def by_length(words: list[str], most: int = 1 << 17) -> Iterator[list[int]]:
     """Indexes of words in groups of like length, so that a group's table has about ``most`` cells or one word."""
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
     group: list[int] = []
@@ -151,6 +154,14 @@ def has_letter(text: str | None) -> bool:
     return text is not None and (re.search("[A-Za-z]", text) is not None or any(map(str.isalpha, text)))
 
 
+def cut_words(text: str) -> list[str]:
+    """The words of a text; each stretch of LONG_WORD characters of a longer word counts as a word."""
+    words = text.split()
+    if words and max(map(len, words)) > LONG_WORD:
+        return [w[k : k + LONG_WORD] for w in words for k in range(0, len(w), LONG_WORD)]
+    return words
+
+
 class Scorer:
     """Log-probabilities of texts, with each distinct word computed once for a while."""
 
@@ -169,7 +180,7 @@ class Scorer:
         row, first = self.row, len(self.row)
         words, ends = [], [0]
         for text in texts:
-            words += [row.setdefault(w, len(row)) for w in text.split()]
+            words += [row.setdefault(w, len(row)) for w in cut_words(text)]
             ends.append(len(words))
         new = [" " + w for w in list(row)[first:]]
         fresh = np.zeros((len(new), len(self.model.langs)))
@@ -199,14 +210,14 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
         for batch in merged(batches, "text"):
             counts: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for word, n in Counter(text.split()).items():
+                for word, n in Counter(cut_words(text)).items():
                     counts[lang, word] += n
             langs, words = zip(*counts, strict=True) if counts else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"]
             )
 
-    return labelled.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return map_batches(labelled, run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def expected_counts(words: list[str], counts: np.ndarray, at: Pieces, prob: np.ndarray) -> np.ndarray:
@@ -285,10 +296,11 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
                 piece, lang = np.nonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
-        found = words.mapInArrow(run, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        found = map_batches(words, run, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros_like(prob)
         counts[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
         prob = normalise(counts, at.prior)
+        bound.destroy()
     n = np.array([s[1] for s in shares], dtype=float)
     return Model(langs, (n + 1) / (n + 1).sum(), prob, path)
 
@@ -301,14 +313,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(bound.value)
-        for batch in merged(batches, text_col, 4 << 20):
+        for batch in merged(batches, text_col, 2 << 20):
             langs, scores = scorer.predict(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
     from pyspark.sql import types as T
 
     schema = T.StructType(list(source.schema.fields)).add("lang_pred", T.StringType()).add("score", T.DoubleType())
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def fold(id_col: str = "doc_id") -> Column:
