@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quelora.llm.common import blocks, materialize, space_words
+from quelora.llm.common import blocks, map_batches, materialize, space_words
 from quelora.llm.components import connected_components
 
 SHINGLE = 3
@@ -36,6 +36,9 @@ DISTANCE = 2
 #: Distinct fingerprints that are compared in one bucket; larger buckets are cut again. At least 64, below which a cut
 #: may leave a bucket as it is.
 BUCKET = 2048
+#: Fingerprints that one task indexes, and the most tasks.
+TASK_ROWS = 16_384
+TASKS = 100_000
 
 _POP = np.array([bin(k).count("1") for k in range(1 << 16)], dtype=np.uint8)
 
@@ -67,16 +70,16 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """id, doc (hash of id and text) and fp (the fingerprint's bits as a signed long) of each row."""
+    """id and fp (the fingerprint's bits as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             found = [fingerprint(shingle_hashes(t, size)) for t in batch.column("text").to_pylist()]
             fps = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc"), pa.array(fps)], ["id", "doc", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps)], ["id", "fp"])
 
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    return docs.select(key.alias("id"), F.xxhash64(key, text).alias("doc"), text.alias("text")).mapInArrow(run, "id long, doc long, fp long")
+    return map_batches(docs.select(key.alias("id"), text.alias("text")), run, "id long, fp long")
 
 
 def _halves(free: list[int]) -> tuple[list[int], list[int]]:
@@ -137,7 +140,7 @@ def _cut_again(members: DataFrame) -> DataFrame:
                     left = np.full(len(fp), _mask(rest), dtype=np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(left), bit, pa.array(fp.view(np.int64))], ["key", "free", "bit", "fp"])
 
-    return members.select("key", "free", "fp").mapInArrow(run, "key long, free long, bit byte, fp long")
+    return map_batches(members.select("key", "free", "fp"), run, "key long, free long, bit byte, fp long")
 
 
 def _shared(signatures: DataFrame) -> DataFrame:
@@ -186,13 +189,15 @@ def _link(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     groups = rows.groupBy("key").agg(F.collect_set("fp").alias("fps"))
-    return groups.select("fps").mapInArrow(run, "a long, b long").distinct()
+    return map_batches(groups.select("fps"), run, "a long, b long").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b), b below a as unsigned, that connect the distinct fingerprints of ``fps`` as all links do."""
     found: DataFrame | None = None
-    signatures = _signatures(fps)
+    # a row becomes 66, so the tasks follow the rows and not the few bytes of the fingerprints
+    tasks = min(TASKS, -(-fps.count() // TASK_ROWS))
+    signatures = _signatures(fps.repartition(tasks, "fp") if tasks > 1 else fps)
     while True:
         shared = _shared(signatures)
         edges = _link(shared.where(F.col("n") <= BUCKET).select("key", "fp"))
@@ -226,14 +231,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(found, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The row of least id (then of least hash of id and text) of each component, with all its columns."""
-    rows = materialize(fingerprints(docs, id_col, text_col, size), "simhash-rows")
-    first = rows.join(components(rows), "fp").groupBy("part").agg(F.min(F.struct("id", "doc")).alias("first"))
-    kept = materialize(first.select(F.col("first.doc").alias("__doc")).distinct(), "simhash-kept")
-    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    # rows that repeat id and text have one key, and one of them stays
-    return docs.withColumn("__doc", F.xxhash64(key, text)).join(kept, "__doc", "left_semi").dropDuplicates(["__doc"]).drop("__doc")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """The row of least id of each group of near copies, with all its columns. Fingerprints of shingles of ``size``
+    words propose links; a link holds if the sets of shingles have a Jaccard similarity of 4/5, and those of such
+    links that no two bits show come from an exact join (neardup.py)."""
+    from quelora.llm import neardup
+
+    return neardup.one_of_each(docs, id_col, text_col, size)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
