@@ -8,8 +8,9 @@ offset-adjusted positions of each further term. With a slop, ``search`` finds pr
 
 The index is partitioned by document, so building it moves no rows between executors, a very common term or
 passage is spread over all blocks, and a block's result needs nothing from other blocks. Test items go to the
-executors in passes of at most ``PASS_WORDS`` words, which bounds what is broadcast; with more items there are more
-passes over the stored index, and no item is left out.
+executors in passes of at most ``PASS_WORDS`` words, which bounds what is broadcast; a longer item goes in parts that
+overlap by a window. With more items there are more passes over the stored index, and no item is left out. Each of
+several passes writes its hits alone, which meet the documents once at the end.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no windows; an item of
 fewer words than the window is one window of its own length; repeated rows each get their own result; repeated
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quelora.llm.common import alnum_words, materialize, merged
+from quelora.llm.common import alnum_words, map_batches, materialize, merged
 
 WINDOW = 10
 #: Words of test items that one pass broadcasts (about 20 bytes each).
@@ -37,9 +38,9 @@ INDEX_BYTES = 6 << 20
 #: Candidate positions that one step of a search holds.
 STEP = 1 << 21
 
-INDEX_SCHEMA = "block long, ids array<long>, lens array<int>, terms array<binary>, counts binary, gaps binary"
-HIT_SCHEMA = "block long, row int, id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
-HIT_COLUMNS = ["block", "row", "id", "n_words", "n_hit", "items", "spans"]
+INDEX_SCHEMA = "block long, ids array<long>, tags array<long>, lens array<int>, terms array<binary>, counts binary, gaps binary"
+HIT_SCHEMA = "block long, row int, id long, tag long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
+HIT_COLUMNS = ["block", "row", "id", "tag", "n_words", "n_hit", "items", "spans"]
 
 
 def _index_block(block: int, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -55,26 +56,28 @@ def _index_block(block: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array([block], pa.int64()),
-            pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())),
+            *(pa.array([batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("id", "tag")),
             pa.array([lens], pa.list_(pa.int32())),
             pa.array([list(numbers)], pa.list_(pa.binary())),
             pa.array([counts.tobytes()], pa.binary()),
             pa.array([gaps.tobytes()], pa.binary()),
         ],
-        ["block", "ids", "lens", "terms", "counts", "gaps"],
+        ["block", "ids", "tags", "lens", "terms", "counts", "gaps"],
     )
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "positions") -> DataFrame:
-    """Stores the positional index of all documents in the shared folder; one row for each block."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "positions", tag_col: str | None = None) -> DataFrame:
+    """Stores the positional index of all documents in the shared folder; one row for each block. A document may have a
+    tag, a second long that goes with its id."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
         for k, batch in enumerate(merged(batches, "text", INDEX_BYTES)):
             yield _index_block(first + k, batch)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(slim.mapInArrow(build, INDEX_SCHEMA), name)
+    tag = F.col(f"`{tag_col}`") if tag_col else F.lit(None)
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), tag.cast("long").alias("tag"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return materialize(map_batches(slim, build, INDEX_SCHEMA), name)
 
 
 class Postings:
@@ -207,7 +210,8 @@ def near_occurrences(index: Postings, windows: Windows, slop: int) -> tuple[np.n
     return tuple(np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
 
 
-def _results(row: dict, windows: Windows, vocabulary: pa.Array, slop: int | None) -> pa.RecordBatch:
+def _results(row: dict, windows: Windows, vocabulary: pa.Array, slop: int | None, every: bool) -> pa.RecordBatch:
+    """A row for each document of a block, or with every=False for each that is hit."""
     index = Postings(row, vocabulary)
     if slop is None:
         w, start = occurrences(index, windows)
@@ -231,11 +235,12 @@ def _results(row: dict, windows: Windows, vocabulary: pa.Array, slop: int | None
         for a, b in zip(cuts[:-1][inside], cuts[1:][inside], strict=True):
             d = int(index.doc_of(np.array([a]))[0])
             spans[d].append({"start": int(a - index.bases[d]), "stop": int(b - index.bases[d])})
-    return pa.RecordBatch.from_arrays(
+    found = pa.RecordBatch.from_arrays(
         [
             pa.array([row["block"]] * docs, pa.int64()),
             pa.array(np.arange(docs, dtype=np.int32)),
             pa.array(row["ids"], pa.int64()),
+            pa.array(row["tags"], pa.int64()),
             pa.array(index.lens),
             pa.array(n_hit.astype(np.int64)),
             pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
@@ -243,19 +248,22 @@ def _results(row: dict, windows: Windows, vocabulary: pa.Array, slop: int | None
         ],
         HIT_COLUMNS,
     )
+    return found if every else found.filter(pa.array(n_hit > 0))
 
 
-def _passes(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items with words, in passes of at most PASS_WORDS words, or one longer item."""
-    held, size = [], 0
-    for item, text in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string")).toLocalIterator():
+def _passes(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items with words, in passes of at most PASS_WORDS words; parts of a longer item hold all its windows."""
+    held, size, most = [], 0, max(PASS_WORDS, 2 * window)
+    for item, text in items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col(f"`{text_col}`").cast("string")).toLocalIterator():
         words = alnum_words(text)
-        if held and size + len(words) > PASS_WORDS:
-            yield held
-            held, size = [], 0
-        if words:
-            held.append((item, words))
-            size += len(words)
+        starts = range(0, max(1, len(words) - window + 1), most - window + 1)
+        for part in (words[k : k + most] for k in starts):
+            if held and size + len(part) > most:
+                yield held
+                held, size = [], 0
+            if part:
+                held.append((item, part))
+                size += len(part)
     yield held
 
 
@@ -265,23 +273,27 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
 
     slop None: exact phrases. Else proximity: all words of the window, in any order, within its length plus slop."""
 
-    def one(bound) -> DataFrame:
+    def one(bound, every: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = bound.value
             vocabulary = pa.array(windows.vocabulary, pa.binary())
             for batch in batches:
                 for k in range(batch.num_rows):
-                    yield _results(batch.slice(k, 1).to_pylist()[0], windows, vocabulary, slop)
-
-        return index.mapInArrow(run, HIT_SCHEMA)
-
-    context = index.sparkSession.sparkContext
-    parts = [one(context.broadcast(Windows(p, window))) for p in _passes(items, id_col, text_col)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
+                    yield _results(batch.slice(k, 1).to_pylist()[0], windows, vocabulary, slop, every)
+
+        return map_batches(index, run, HIT_SCHEMA)
+
+    context, hits, bound = index.sparkSession.sparkContext, None, None
+    for part in _passes(items, id_col, text_col, window):
+        if bound is not None:
+            more = materialize(one(bound, False), "hits")
+            bound.destroy()
+            hits = more if hits is None else hits.unionByName(more)
+        bound = context.broadcast(Windows(part, window))
+    if hits is None:
+        return one(bound, True)
+    hits = hits.unionByName(materialize(one(bound, False), "hits"))
+    bound.destroy()
     # the passes meet by row; each adds a few spans, and n_hit is the length of the spans' union
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     union = F.aggregate(
@@ -293,10 +305,12 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
         ),
         lambda acc: acc["n"],
     )
-    merged_rows = every.groupBy("block", "row", "id", "n_words").agg(
-        spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-    return merged_rows.withColumn("n_hit", union).select(HIT_COLUMNS)
+    of_doc = hits.groupBy("block", "row").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    each = index.select("block", F.posexplode(F.arrays_zip("ids", "tags", "lens")).alias("row", "d"))
+    rows = each.select("block", "row", F.col("d.ids").alias("id"), F.col("d.tags").alias("tag"), F.col("d.lens").cast("long").alias("n_words"))
+    found = rows.join(of_doc.withColumn("n_hit", union), ["block", "row"], "left")
+    none = {"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start:int,stop:int>>")}
+    return found.withColumns({c: F.coalesce(c, v) for c, v in none.items()}).select(HIT_COLUMNS)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

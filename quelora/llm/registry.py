@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-from quelora.llm import decontaminate, encode, html, langid, lines, lm, quality, reshard, simhash, tokens
-
-
-def _pipeline(spark, sf_dir: str):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+from quelora.llm import decontaminate, encode, html, langid, lines, lm, pipeline, quality, reshard, simhash, tokens
 
 
 def queries() -> dict:
@@ -23,7 +17,7 @@ def queries() -> dict:
         "op8_reshard": reshard.op8_reshard,
         "op9_encode": encode.op9_encode,
         "op10_lm": lm.op10_lm,
-        "pipeline": _pipeline,
+        "pipeline": pipeline.run,
     }
 
 
