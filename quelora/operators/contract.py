@@ -1,12 +1,15 @@
 """The event contract: validation with reasons, and the typed events of valid records.
 
-The value is parsed once as a variant, which tells a missing field from a null one, and the first rule that fails gives
-the error. Rules are numbered in the contract's order; besides the contract
+The value is parsed once as a variant, which tells a missing field from a null one, and unfolded by two casts to structs of
+variants, of the envelope and of the payload. The first rule that fails gives the error. Rules are numbered in the contract's order; besides the contract
 itself, a number that isn't one is an error (rule 12), as it would break the aggregates.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,10 @@ KEY_MISMATCH = "en los eventos de contacto"
 NOT_NUMBER = "payload con campos no numéricos: "
 
 
-def _field(parent: Column, name: str) -> Column:
-    return F.try_variant_get(parent, f"$.{name}", "variant")
+def _unfolded(value: Column, names: tuple[str, ...] | list[str]) -> Column:
+    """The fields of an object as variants, all in one look: null where a field is missing, and null as a whole where the
+    value is no object."""
+    return F.try_variant_get(value, "$", f"struct<{', '.join(f'{n}: variant' for n in names)}>")
 
 
 def _kind(value: Column) -> Column:
@@ -58,47 +63,36 @@ def validate(records: DataFrame) -> DataFrame:
     """Adds kafka_key, payload_text, rule (number of the rule that fails, null if none), error and the event's fields
     to log records (key binary, value binary, ...)."""
     raw = F.coalesce(F.col("value"), F.lit(b"")).cast("string")
-    df = _once(records, {"kafka_key": F.make_valid_utf8(F.col("key").cast("string")), "payload_text": F.make_valid_utf8(raw), "utf8": F.is_valid_utf8(raw)})
-    df = _once(df, {"body": F.when(F.col("utf8"), F.try_parse_json("payload_text"))})
-    body, payload = F.col("body"), F.col("v_payload")
-    number = lambda n: F.try_variant_get(payload, f"$.{n}", "double")
-    payload_fields = {n: F.try_variant_get(payload, f"$.{n}", "string") for n in PAYLOAD_STRINGS} | {n: number(n) for n in PAYLOAD_NUMBERS}
-    df = _once(df, {"body_kind": _kind(body)} | {f"v_{n}": _field(body, n) for n in ENVELOPE})
-    string = lambda n: F.when(_kind(F.col(f"v_{n}")) == "STRING", _text(F.col(f"v_{n}")))
-    present = lambda n: _field(payload, n).isNotNull()
-    every = sorted({*sum(REQUIRED.values(), ())})
-    parsed = {
-        "type_text": string("event_type"),
-        "time_text": string("event_time"),
-        "key_text": string("key"),
-        "payload_kind": _kind(payload),
-        "contact_kind": _kind(_field(payload, "contact_id")),
-        "present": F.array_compact(F.array(*(F.when(present(n), F.lit(n)) for n in every))),
-        **{f"p_{n}": c for n, c in payload_fields.items()},
-    }
+    every = (*PAYLOAD_STRINGS, *PAYLOAD_NUMBERS)
+    df = _once(records, {"body": F.when(F.is_valid_utf8(raw), F.try_parse_json(raw))})
+    df = _once(df, {"envelope": _unfolded(F.col("body"), ENVELOPE)})
+    field = lambda n: F.col(f"envelope.{n}")
+    string = lambda n: F.when(_kind(field(n)) == "STRING", _text(field(n)))
+    parsed = {"payload": _unfolded(field("payload"), every), "type_text": string("event_type"), "time_text": string("event_time"), "key_text": string("key")}
     df = _once(df, parsed)
+    inside = lambda n: F.col(f"payload.{n}")
+    numbers = {f"p_{n}": F.try_variant_get(inside(n), "$", "double") for n in PAYLOAD_NUMBERS}
+    df = _once(df, {"time": parse_iso(F.col("time_text")), "p_contact_id": _text(inside("contact_id")), **numbers})
+    payload_fields = {n: F.col("p_contact_id") if n == "contact_id" else _text(inside(n)) for n in PAYLOAD_STRINGS} | {n: F.col(f"p_{n}") for n in PAYLOAD_NUMBERS}
     kind, contact_id = F.col("type_text"), F.col("p_contact_id")
     by_type = lambda f: F.coalesce(*(F.when(kind == t, f(t)) for t in REQUIRED))
-    lacks = lambda t: F.array_except(F.array(*map(F.lit, REQUIRED[t])), "present")
+    lacking = lambda names, of: F.array_compact(F.array(*(F.when(of(n).isNull(), F.lit(n)) for n in names)))
+    required = F.coalesce(*(F.when(kind == t, F.array(*map(F.lit, names))) for t, names in REQUIRED.items()))
+    lacks_any = lambda names, of: functools.reduce(operator.or_, (of(n).isNull() for n in names))
     numeric = {t: [n for n in names if n in PAYLOAD_NUMBERS] for t, names in REQUIRED.items()}
-    bad_numbers = lambda t: F.array_compact(F.array(*(F.when(F.col(f"p_{n}").isNull(), F.lit(n)) for n in numeric[t])))
-    df = _once(df, {
-        "missing": F.array_compact(F.array(*(F.when(F.col(f"v_{n}").isNull(), F.lit(n)) for n in ENVELOPE))),
-        "missing_payload": by_type(lacks),
-        "not_numbers": F.coalesce(*(F.when(kind == t, bad_numbers(t)) for t in REQUIRED if numeric[t]), F.array().cast("array<string>")),
-        "time": parse_iso(F.col("time_text")),
-    })
-    shown = F.coalesce(_quoted(kind), F.when(F.is_variant_null("v_event_type"), F.lit("None")), F.to_json("v_event_type"))
-    same_key = (F.col("contact_kind") == "STRING") & (contact_id == F.col("key_text"))
+    number = lambda n: F.col(f"p_{n}")
+    shown = F.coalesce(_quoted(kind), F.when(F.is_variant_null("envelope.event_type"), F.lit("None")), F.to_json("envelope.event_type"))
+    same_key = (_kind(inside("contact_id")) == "STRING") & (contact_id == F.col("key_text"))
     text = F.col
+    by_type = lambda f: F.coalesce(*(F.when(kind == t, f(t)) for t in REQUIRED))
     rules = [
-        (~F.col("utf8"), F.lit(NOT_UTF8)),
-        (body.isNull(), F.lit(NOT_JSON)),
-        (~F.startswith("body_kind", F.lit("OBJECT")), F.lit(NOT_OBJECT)),
-        (F.size("missing") > 0, F.concat(F.lit(MISSING), _names(text("missing")))),
+        (~F.is_valid_utf8(raw), F.lit(NOT_UTF8)),
+        (F.col("body").isNull(), F.lit(NOT_JSON)),
+        (F.col("envelope").isNull(), F.lit(NOT_OBJECT)),
+        (lacks_any(ENVELOPE, field), F.concat(F.lit(MISSING), _names(lacking(ENVELOPE, field)))),
         (F.coalesce(~kind.isin(*REQUIRED), F.lit(True)), F.concat(F.lit(BAD_TYPE), shown)),
-        (~F.startswith("payload_kind", F.lit("OBJECT")), F.lit(BAD_PAYLOAD)),
-        (F.size("missing_payload") > 0, F.concat(kind, F.lit(MISSING_PAYLOAD), _names(text("missing_payload")))),
+        (F.col("payload").isNull(), F.lit(BAD_PAYLOAD)),
+        (by_type(lambda t: lacks_any(REQUIRED[t], inside)), F.concat(kind, F.lit(MISSING_PAYLOAD), _names(F.array_intersect(required, lacking(every, inside))))),
         (F.col("time_text").isNull(), F.lit(TIME_NOT_STRING)),
         (F.col("time").isNull(), F.concat(F.lit(BAD_TIME), _quoted(text("time_text")))),
         (F.coalesce(F.col("key_text") == "", F.lit(True)), F.lit(BAD_KEY)),
@@ -106,21 +100,22 @@ def validate(records: DataFrame) -> DataFrame:
             kind.isin(*CONTACT_TYPES) & ~F.coalesce(same_key, F.lit(False)),
             F.concat(F.lit("key ("), _quoted(text("key_text")), F.lit(") debe ser el contact_id ("), F.coalesce(_quoted(contact_id), F.lit("None")), F.lit(f") {KEY_MISMATCH}")),
         ),
-        (F.size("not_numbers") > 0, F.concat(F.lit(NOT_NUMBER), _names(text("not_numbers")))),
+        (F.coalesce(*(F.when(kind == t, lacks_any(n, number)) for t, n in numeric.items() if n), F.lit(False)), F.concat(F.lit(NOT_NUMBER), _names(F.array_intersect(required, lacking(PAYLOAD_NUMBERS, number))))),
     ]
     df = _once(df, {"rule": F.coalesce(*(F.when(bad, F.lit(k)) for k, (bad, _) in enumerate(rules, 1)))})
     error = F.coalesce(*(F.when(F.col("rule") == k, message) for k, (_, message) in enumerate(rules, 1)))
     fields = {
-        "event_id": _text(F.col("v_event_id")),
+        "event_id": _text(field("event_id")),
         "event_type": kind,
         "event_time": format_millis(F.col("time")),
         "event_ts": F.col("time"),
-        "schema_version": F.try_variant_get("v_schema_version", "$", "int"),
+        "schema_version": F.try_variant_get(field("schema_version"), "$", "int"),
         "event_key": F.col("key_text"),
-        **{n: F.col(f"p_{n}") for n in payload_fields},
+        **payload_fields,
     }
     kept = [F.col(c) for c in records.columns if c not in fields]
-    return df.select(*kept, "kafka_key", "payload_text", "rule", error.alias("error"), *(c.alias(n) for n, c in fields.items()))
+    texts = [F.make_valid_utf8(F.col("key").cast("string")).alias("kafka_key"), F.make_valid_utf8(raw).alias("payload_text")]
+    return df.select(*kept, *texts, "rule", error.alias("error"), *(c.alias(n) for n, c in fields.items()))
 
 
 def valid(validated: DataFrame) -> DataFrame:
