@@ -12,6 +12,7 @@ the lateness, and the state ends when it reaches the end. Needs the RocksDB stat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +37,16 @@ def nearest_rank(counts: dict[float, int], percent: int) -> float:
     return 0.0
 
 
+def _nanos(seconds: float) -> int:
+    """Sums are whole numbers, so they don't depend on the order of rows."""
+    return int(Decimal(repr(float(seconds))).scaleb(9).to_integral_value(ROUND_HALF_UP))
+
+
+def _rounded(x: float, digits: int) -> float:
+    """Half up, as the batch metrics are."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def _iso(ms: int) -> str:
     return pd.Timestamp(ms, unit="ms").strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -50,8 +61,9 @@ class PaneProcessor(StatefulProcessor):
         self.handle = handle
         self.ids = handle.getMapState("ids", "event_id string", "seen boolean")
         self.waits = handle.getMapState("waits", "wait double", "n int")
-        self.sums = handle.getValueState("sums", ", ".join(f"{c} bigint" for c in _COUNTS) + ", talk double, wait double")
+        self.sums = handle.getValueState("sums", ", ".join(f"{c} bigint" for c in (*_COUNTS, "talk", "wait")))
         self.pane = handle.getValueState("pane", "next int")
+        self.fired = handle.getValueState("fired", "on_time boolean")
 
     def _bounds(self, key: tuple) -> tuple[int, int, int]:
         """Window start, end and on-time watermark in milliseconds."""
@@ -84,19 +96,19 @@ class PaneProcessor(StatefulProcessor):
             waits = {w[0]: c[0] for w, c in self.waits.iterator()}
             finished, total = n["connected"] + n["abandoned"], sum(waits.values())
             row |= {c: n[c] for c in _COUNTS if c in QUEUE_METRICS} | {
-                "ns20": round(n["answered_within_sl"] / n["connected"], 4) if n["connected"] else 0.0,
-                "abandon_rate": round(n["abandoned"] / finished, 4) if finished else 0.0,
-                "avg_wait_seconds": round(wait / total, 3) if total else 0.0,
-                "p90_wait_seconds": round(nearest_rank(waits, 90), 3),
-                "max_wait_seconds": round(max(waits), 3) if waits else 0.0,
-                "total_talk_seconds": round(talk, 3),
+                "ns20": _rounded(n["answered_within_sl"] / n["connected"], 4) if n["connected"] else 0.0,
+                "abandon_rate": _rounded(n["abandoned"] / finished, 4) if finished else 0.0,
+                "avg_wait_seconds": _rounded(wait / 1e9 / total, 3) if total else 0.0,
+                "p90_wait_seconds": _rounded(nearest_rank(waits, 90), 3),
+                "max_wait_seconds": _rounded(max(waits), 3) if waits else 0.0,
+                "total_talk_seconds": _rounded(talk / 1e9, 3),
             }
         frame = pd.DataFrame([row], columns=list(CHANGELOG_FIELDS))
         return frame.astype({c: {"bigint": "Int64", "int": "Int32"}[k] for c, k in CHANGELOG_FIELDS.items() if k in ("bigint", "int")})
 
     def _add(self, rows: pd.DataFrame) -> bool:
         """Counts the rows of ids not seen yet; whether there were any."""
-        sums = list(self.sums.get()) if self.sums.exists() else [0] * len(_COUNTS) + [0.0, 0.0]
+        sums = list(self.sums.get()) if self.sums.exists() else [0] * (len(_COUNTS) + 2)
         at = {c: k for k, c in enumerate(_COUNTS)}
         fresh = False
         for r in rows.itertuples():
@@ -113,11 +125,11 @@ class PaneProcessor(StatefulProcessor):
                 sums[at["answered_within_sl"]] += int(wait <= self.settings.service_level_seconds)
             elif r.event_type == "contact_ended":
                 self.waits.updateValue((wait,), ((self.waits.getValue((wait,))[0] if self.waits.containsKey((wait,)) else 0) + 1,))
-                sums[-1] += wait
+                sums[-1] += _nanos(wait)
                 left = r.disposition if r.disposition in ("abandoned", "transferred") else "resolved"
                 sums[at[left]] += 1
                 if left != "abandoned":
-                    sums[-2] += 0.0 if pd.isna(r.talk_seconds) else float(r.talk_seconds)
+                    sums[-2] += 0 if pd.isna(r.talk_seconds) else _nanos(r.talk_seconds)
         if fresh:
             self.sums.update(tuple(sums))
         return fresh
@@ -125,6 +137,8 @@ class PaneProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         _, end, on_time = self._bounds(key)
+        if now >= on_time and self.sums.exists():  # due before these rows, which come after its watermark
+            yield from self._on_time(key)
         fresh = False
         for batch in rows:
             if now < end:
@@ -132,7 +146,10 @@ class PaneProcessor(StatefulProcessor):
         if not fresh:
             return
         if now >= on_time:
-            yield self._row(key, "LATE" if self.pane.exists() else "ON_TIME")
+            if self.fired.exists():
+                yield self._row(key, "LATE")
+            else:
+                yield from self._on_time(key)
         else:
             self.handle.registerTimer(on_time)
             if self.settings.early_firing_seconds > 0:
@@ -143,11 +160,17 @@ class PaneProcessor(StatefulProcessor):
         _, end, _ = self._bounds(key)
         if expiredTimerInfo.getExpiryTimeInMs() < end:
             if self.sums.exists():
-                yield self._row(key, "ON_TIME")
+                yield from self._on_time(key)
         else:
-            for state in (self.ids, self.waits, self.sums, self.pane):
+            for state in (self.ids, self.waits, self.sums, self.pane, self.fired):
                 state.clear()
 
+    def _on_time(self, key: tuple) -> Iterator[pd.DataFrame]:
+        """The ON_TIME pane, once: by the timer, or before it by rows of the batch that first sees the watermark."""
+        if not self.fired.exists():
+            self.fired.update((True,))
+            yield self._row(key, "ON_TIME")
+
     def close(self) -> None:
         pass
 
