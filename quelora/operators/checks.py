@@ -60,11 +60,46 @@ def causal_breaks(events: DataFrame, order: Column) -> DataFrame:
 
 
 def summary(events: DataFrame) -> DataFrame:
-    """(name, n): events of each type, distinct contacts and the total."""
-    by_type = events.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
-    contacts = events.where(F.col("event_type").isin(*CONTACT_TYPES)).agg(F.lit("contacts").alias("name"), F.count_distinct("event_key").alias("n"))
-    total = events.agg(F.lit("total").alias("name"), F.count("*").alias("n"))
-    return by_type.unionByName(contacts).unionByName(total)
+    """(name, n): events of each type, distinct contacts and the total; one pass and one shuffle by contact."""
+    kinds = (*CONTACT_TYPES, AGENT_TYPE)
+    contact = F.when(F.col("event_type").isin(*CONTACT_TYPES), F.col("event_key"))
+    by_contact = events.groupBy(contact.alias("contact")).agg(F.count("*").alias("total"), *(F.count_if(F.col("event_type") == k).alias(k) for k in kinds))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = by_contact.agg(F.count("contact").alias("contacts"), zero("total").alias("total"), *(zero(k).alias(k) for k in kinds))
+    rows = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in (*kinds, "contacts", "total")))
+    return one.select(F.inline(F.filter(rows, lambda r: r["name"].isin("contacts", "total") | (r["n"] > 0))))
+
+
+def lateness(events: DataFrame, window_seconds: int, lateness_seconds: int, at: str = "deliver_at", time: str = "event_ts", tie: str = "event_id") -> DataFrame:
+    """(outcome, n): on_time, late and dropped events, by whether the highest event time delivered before an event has
+    passed its window's end, and the lateness after it. Rows are ordered inside buckets of delivery time; a bucket takes
+    over the highest time of all buckets before it from a table with a row for each hour."""
+    end = F.window(time, f"{window_seconds} seconds").end
+    bucket = F.floor(F.unix_micros(F.col(at)) / (BUCKET_SECONDS * 1_000_000))
+    rows = events.select(bucket.alias("bucket"), F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(time).alias("ts"), F.unix_micros(end).alias("end"))
+    inside = Window.partitionBy("bucket").orderBy("at", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("bucket").agg(F.max("ts").alias("top")).select("bucket", F.max("top").over(before).alias("carried"))
+    seen = rows.withColumn("seen", F.max("ts").over(inside)).join(tops, "bucket")
+    high = F.unix_micros(F.greatest("seen", "carried"))
+    past = lambda seconds: F.coalesce(high >= F.col("end") + seconds * 1_000_000, F.lit(False))
+    outcome = F.when(past(lateness_seconds), "dropped").when(past(0), "late").otherwise("on_time")
+    return seen.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def topic_disorder(events: DataFrame, topic: Column, at: str = "deliver_at", time: str = "event_ts", tie: str = "event_id") -> DataFrame:
+    """(topic, events, disordered): how many events of a topic are earlier than the one before them there."""
+    rows = events.withColumns({"topic": topic, "bucket": F.floor(F.unix_micros(F.col(at)) / (BUCKET_SECONDS * 1_000_000))})
+    inside = Window.partitionBy("topic", "bucket").orderBy(at, tie)
+    marked = rows.withColumn("before", F.lag(time).over(inside))
+    by_bucket = marked.groupBy("topic", "bucket").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col(time) < F.col("before")).alias("down"),
+        F.min_by(time, F.struct(at, tie)).alias("first"),
+        F.max_by(time, F.struct(at, tie)).alias("last"),
+    )
+    across = by_bucket.withColumn("before", F.lag("last").over(Window.partitionBy("topic").orderBy("bucket")))
+    return across.groupBy("topic").agg(F.sum("n").alias("events"), (F.sum("down") + F.count_if(F.col("first") < F.col("before"))).alias("disordered"))
 
 
 def compare(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

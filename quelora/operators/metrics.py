@@ -44,8 +44,9 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.round(a / b, 4)).otherwise(F.lit(0.0))
 
 
-def aggregate(events: DataFrame, settings: Settings, exact_rounding: bool = False) -> DataFrame:
-    """(metric_type, dimension_id, window, metrics) of deduplicated keyed events; metrics of the other kind are null."""
+def aggregate(events: DataFrame, settings: Settings, exact_rounding: bool = False, counted: bool = False) -> DataFrame:
+    """(metric_type, dimension_id, window, metrics) of deduplicated keyed events; metrics of the other kind are null. With
+    ``counted`` also events_counted, of either kind."""
     kind = F.col("event_type")
     wait = F.coalesce(F.col("wait_seconds"), F.lit(0.0))
     ended, connected = kind == "contact_ended", kind == "contact_connected"
@@ -79,7 +80,8 @@ def aggregate(events: DataFrame, settings: Settings, exact_rounding: bool = Fals
     values = {n: F.coalesce(c if exact_rounding else F.round(c, digits[n]), F.lit(0.0)) for n, c in raw.items()}
     counts = {n: F.col(n) for n in QUEUE_METRICS if n not in raw}
     metrics = [F.when(queue, {**counts, **values}[n]).alias(n) for n in QUEUE_METRICS]
-    out = sums.select("metric_type", "dimension_id", "window", *metrics, F.when(~queue, F.col("transitions")).alias("transitions"))
+    more = [F.col("transitions").alias("events_counted")] if counted else []
+    out = sums.select("metric_type", "dimension_id", "window", *metrics, F.when(~queue, F.col("transitions")).alias("transitions"), *more)
     return exact_round(out, digits) if exact_rounding else out
 
 
@@ -101,8 +103,7 @@ def queue_window_report(events: DataFrame, settings: Settings) -> DataFrame:
     from quelora.functions.iso import format_millis
 
     chosen = deduplicate(keyed(events, settings)).where(F.col("metric_type") == QUEUE)
-    counted = chosen.groupBy("dimension_id", "window").agg(F.count("*").alias("events_counted"))
-    found = aggregate(chosen, settings).join(counted, ["dimension_id", "window"])
+    found = aggregate(chosen, settings, counted=True)
     start = format_millis(F.col("window.start"))
     return found.select(
         F.concat_ws(":", "dimension_id", start).alias("aggregate_id"),

@@ -5,11 +5,16 @@ Chances come from hashes of the event id and a seed, so a replay is the same on
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quelora.functions.ids import event_id
 from quelora.functions.iso import format_millis
-from quelora.schemas import REQUIRED
+from quelora.schemas import REQUIRED, SCHEMA_VERSION
 from quelora.settings import Settings
 
 _STEPS = 1 << 30
@@ -35,6 +40,39 @@ def schedule(events: DataFrame, tardiness_seconds: float = 45.0, seed: int = 7)
     return events.withColumn("deliver_at", F.timestamp_micros(F.unix_micros("event_ts") + delay))
 
 
+def build(rows: DataFrame, event_type: str, *id_parts: str) -> DataFrame:
+    """Events of a type from rows with event_ts, event_key and payload columns: fills the id from the parts' columns where
+    it is null, and the schema's version. Raises where the type isn't one of the contract or a required field has no
+    column."""
+    if event_type not in REQUIRED:
+        raise ValueError(f"unknown event type: {event_type}")
+    if lacking := [n for n in REQUIRED[event_type] if n not in rows.columns]:
+        raise ValueError(f"{event_type} needs {', '.join(lacking)}")
+    made = event_id(*(F.col(p).cast("string") for p in id_parts)) if id_parts else F.uuid()
+    given = F.coalesce("event_id", made) if "event_id" in rows.columns else made
+    return rows.withColumns({"event_id": given, "event_type": F.lit(event_type), "event_time": format_millis(F.col("event_ts")), "schema_version": F.lit(SCHEMA_VERSION)})
+
+
+def pace(records: DataFrame, append: Callable[[DataFrame], object], speed: float = 1.0, step_seconds: float = 1.0, stop: threading.Event | None = None) -> int:
+    """Appends the records as their deliver_at comes by a clock that runs ``speed`` times as fast, a slice for each step of
+    real time, until all are out or ``stop`` is set. Gives the number of slices that were written."""
+    if speed <= 0 or step_seconds <= 0:
+        raise ValueError("speed and step_seconds must be positive")
+    stop = stop or threading.Event()
+    due = F.unix_micros("deliver_at")
+    low, high = records.agg(F.min(due), F.max(due)).first()
+    began, at, written = time.monotonic(), low, 0
+    while at is not None and at <= high and not stop.is_set():
+        stop.wait(step_seconds)
+        until = low + int((time.monotonic() - began) * speed * 1e6)
+        part = records.where((due >= at) & (due < until if until <= high else due <= high))
+        if not stop.is_set() and not part.isEmpty():
+            append(part)
+            written += 1
+        at = until
+    return written
+
+
 def copies(events: DataFrame, duplicate_rate: float = 0.02, invalid_rate: float = 0.0, seed: int = 7) -> DataFrame:
     """Each event, then perhaps its duplicate and its broken copy: adds copy (original, duplicate or invalid)."""
     kinds = F.array_compact(F.array(
@@ -56,8 +94,9 @@ def payload_json(event_type: Column, broken: Column) -> Column:
 def log_records(events: DataFrame, settings: Settings) -> DataFrame:
     """Log records (key, value, topic, timestamp, headers) of events; rows whose copy is invalid are broken."""
     broken = F.col("copy") == "invalid" if "copy" in events.columns else F.lit(False)
+    time = F.col("event_time") if "event_time" in events.columns else format_millis(F.col("event_ts"))
     body = F.struct(
-        "event_id", "event_time", "event_type", F.col("event_key").alias("key"), payload_json(F.col("event_type"), broken).alias("payload"), "schema_version"
+        "event_id", time.alias("event_time"), "event_type", F.col("event_key").alias("key"), payload_json(F.col("event_type"), broken).alias("payload"), "schema_version"
     )
     header = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").cast("binary").alias("value"))
     return events.select(

@@ -1,12 +1,15 @@
 """The append-only log, on files or on Kafka, behind one interface.
 
 Records have the columns of schemas.LOG. The file log is Parquet; a file is a batch of records in order, and streams
-take files by their modification time. Kafka needs its connector on the class path.
+take files by their modification time. A record's partition follows from its key, and its offset from when its file was
+written and its place there, so arrival has an order as on a broker; offsets grow but have gaps. Kafka needs its connector
+on the class path.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,36 @@ from quelora.schemas import LOG
 _COLUMNS = ("key", "value", "topic", "partition", "offset", "timestamp", "headers")
 
 
+#: Partitions of a topic of the file log.
+PARTITIONS = 6
+#: Bits of an offset that number the records of a file.
+PLACE_BITS = 20
+
+
+@dataclasses.dataclass(frozen=True)
+class Delivery:
+    """Records that were to be written, that the log has taken, and that failed."""
+
+    published: int
+    delivered: int
+    failed: int
+
+
+def publish(log, records: DataFrame) -> Delivery:
+    """Appends records and counts what was delivered, in the same job. A write that fails delivers nothing for sure: its
+    error is raised unless the records can still be counted."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    try:
+        log.append(records.observe(seen, F.count(F.lit(1)).alias("n")))
+    except (PySparkException, Py4JJavaError):
+        return Delivery(n := records.count(), 0, n)
+    return Delivery(seen.get["n"], seen.get["n"], 0)
+
+
 def conform(records: DataFrame) -> DataFrame:
     """Records with all log columns; missing ones are null."""
     from pyspark.sql.types import StructType
@@ -24,6 +57,15 @@ def conform(records: DataFrame) -> DataFrame:
     return records.select(*((F.col(c) if c in records.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in _COLUMNS))
 
 
+def _partitioned(records: DataFrame) -> DataFrame:
+    return records.withColumn("partition", F.coalesce("partition", F.pmod(F.xxhash64("key"), F.lit(PARTITIONS)).cast("int")))
+
+
+def _arrived(records: DataFrame) -> DataFrame:
+    place = F.shiftleft(F.unix_millis("_metadata.file_modification_time"), PLACE_BITS) + F.col("_metadata.row_index")
+    return records.withColumn("offset", F.coalesce("offset", place))
+
+
 @dataclasses.dataclass(frozen=True)
 class FileLog:
     """A folder of Parquet files."""
@@ -31,20 +73,30 @@ class FileLog:
     path: str
 
     def append(self, records: DataFrame) -> None:
-        conform(records).write.mode("append").parquet(self.path)
+        _partitioned(conform(records)).write.mode("append").parquet(self.path)
 
     def batch(self, spark: SparkSession, limit: int | None = None) -> DataFrame:
-        rows = spark.read.schema(LOG).parquet(self.path)
+        rows = _arrived(spark.read.schema(LOG).parquet(self.path))
         return rows if limit is None else rows.limit(limit)
 
+    def order(self, spark: SparkSession) -> None:
+        """Makes streams take the files that there are in the order of their names, as one job writes ranges."""
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = sorted((s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+        now = int(time.time() * 1000)
+        for k, path in enumerate(found):
+            files.setTimes(path, now - 1000 * (len(found) - k), -1)
+
     def stream(self, spark: SparkSession, files_per_trigger: int | None = None) -> DataFrame:
         reader = spark.readStream.schema(LOG)
         if files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-        return reader.parquet(self.path)
+        return _arrived(reader.parquet(self.path))
 
     def writer(self, stream: DataFrame, checkpoint: str):
-        return conform(stream).writeStream.format("parquet").option("path", self.path).option("checkpointLocation", checkpoint)
+        return _partitioned(conform(stream)).writeStream.format("parquet").option("path", self.path).option("checkpointLocation", checkpoint)
 
 
 @dataclasses.dataclass(frozen=True)

@@ -40,7 +40,7 @@ def test_simulator(spark):
     assert day.exceptAll(load(12)).count() > 0
     assert checks.lifecycle_gaps(day).count() == 0
     assert checks.transition_breaks(day, ["seq"]).count() == 0
-    order = F.unix_micros("event_ts") * 100_000 + F.col("seq")
+    order = F.struct("event_ts", "seq")
     assert checks.causal_breaks(day, order).count() == 0
     records = replay.log_records(day, Settings())
     assert contract.validate(records).where("rule IS NOT NULL").count() == 0
@@ -87,3 +87,60 @@ def test_replay(spark, tmp_path):
 def test_settings(monkeypatch):
     monkeypatch.setenv("WINDOW_SECONDS", "30")
     assert Settings.from_env().window_seconds == 30 and Settings().window_seconds == 60
+
+
+def test_built_events(spark):
+    rows = spark.createDataFrame([("c1", "q", "voice", "normal", None), ("c2", "q", "chat", "alta", "given")], "contact_id string, queue_id string, channel string, priority string, event_id string")
+    timed = rows.withColumns({"event_ts": F.timestamp_seconds(F.lit(5)), "event_key": F.col("contact_id")})
+    made = {r["event_key"]: r for r in replay.build(timed, "contact_queued", "contact_id", "channel").collect()}
+    assert made["c2"]["event_id"] == "given" and len(made["c1"]["event_id"]) == 36 and made["c1"]["event_time"] == "1970-01-01T00:00:05.000Z"
+    with pytest.raises(ValueError):
+        replay.build(timed, "contact_paused")
+    with pytest.raises(ValueError):
+        replay.build(timed, "contact_ended")
+
+
+def test_pace(spark):
+    import threading
+
+    rows = spark.createDataFrame([(k, k) for k in range(10)], "id long, s long").select("id", F.timestamp_seconds("s").alias("deliver_at"))
+    parts: list = []
+    assert replay.pace(rows, lambda p: parts.append(sorted(r["id"] for r in p.collect())), speed=4.0, step_seconds=0.5) == len(parts) > 1
+    assert sum(parts, []) == list(range(10))
+    stopped = threading.Event()
+    stopped.set()
+    assert replay.pace(rows, parts.append, stop=stopped) == 0
+
+
+def test_publish_counts(spark, tmp_path):
+    from quelora.sources.log import Delivery, publish
+
+    records = spark.createDataFrame([(b"k", b"v")] * 7, "key binary, value binary")
+    assert publish(FileLog(str(tmp_path / "log")), records) == Delivery(7, 7, 0)
+    assert publish(FileLog("nosuch://log"), records) == Delivery(7, 0, 7)
+
+
+def test_view_buckets_drop_old_versions(spark, tmp_path):
+    fields = ", ".join(f"{n} {k}" for n, k in CHANGELOG_FIELDS.items())
+    row = lambda i, pane: tuple({"aggregate_id": i, "pane_index": pane, "window_start": "2026-01-01T00:00:00Z"}.get(c) for c in CHANGELOG_FIELDS)
+    store = view.ViewStore(str(tmp_path / "view"))
+    for batch in range(6):
+        store(spark.createDataFrame([row("a", batch)] + ([row(f"x{k}", 0) for k in range(40)] if not batch else []), fields), batch)
+    found = {r["aggregate_id"]: r["pane_index"] for r in store.read(spark).collect()}
+    assert found["a"] == 5 and len(found) == 41
+    versions = sorted(p.name for p in (tmp_path / "view" / "data").iterdir() if p.is_dir())
+    assert versions == ["v=0", "v=4", "v=5"]
+    assert "(3 of 41 aggregates)" in view.render(store.read(spark), 3) and view.render(store.read(spark)).count("\n") == 41
+
+
+def test_queries_leave_the_time_zone(spark):
+    from quelora.plans import registry
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = registry.queries()["queue_metrics_day"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.session.timeZone") == "America/New_York"
+        rows = sorted(map(str, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert rows == sorted(map(str, registry.queries()["queue_metrics_day"](spark, "/root/testdata/sf0.001").collect()))
