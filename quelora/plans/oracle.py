@@ -15,8 +15,8 @@ rec AS (
          CASE WHEN kind = 'agent_state_changed' THEN 'a' ELSE 'c' END || user_id AS key, 'q' || (user_id % 4) AS queue,
          CASE k % 3 WHEN 0 THEN 'abandoned' WHEN 1 THEN 'transferred' ELSE 'resolved' END AS disposition,
          ['logged_in', 'ready', 'busy', 'wrapup'][k % 4 + 1] AS to_state, ['logged_in', 'ready', 'busy', 'wrapup'][(k + 3) % 4 + 1] AS from_state,
-         CASE WHEN k = 95 THEN 2 WHEN k = 94 THEN 3 WHEN k = 90 THEN 4 WHEN kind = 'error' THEN 5 WHEN k = 91 THEN 7 WHEN k = 97 THEN 8 WHEN k = 92 THEN 9
-              WHEN k = 96 THEN 10 WHEN k = 93 AND kind <> 'agent_state_changed' THEN 11 ELSE 0 END AS rule,
+         CASE WHEN k = 98 THEN 1 WHEN k = 95 THEN 2 WHEN k = 94 THEN 3 WHEN k = 90 THEN 4 WHEN kind = 'error' THEN 5 WHEN k = 99 THEN 6 WHEN k = 91 THEN 7 WHEN k = 97 THEN 8 WHEN k = 92 THEN 9
+              WHEN k = 96 THEN 10 WHEN k = 93 AND kind <> 'agent_state_changed' THEN 11 WHEN k = 89 AND kind IN ('contact_connected', 'contact_ended') THEN 12 ELSE 0 END AS rule,
          unnest(CASE WHEN k < 3 THEN [0, 1] ELSE [0] END) AS copy
   FROM raw),
 ok AS (SELECT *, CASE WHEN agent THEN 'agent_state_counts' ELSE 'queue_metrics' END AS metric_type, CASE WHEN agent THEN to_state ELSE queue END AS dim FROM rec WHERE rule = 0),
@@ -68,7 +68,7 @@ def sql() -> dict[str, str]:
         + f"SELECT dim || ':' || strftime(w, '%Y-%m-%dT%H:%M:%S.%gZ') AS aggregate_id, dim AS queue_id, strftime(w, '%Y-%m-%dT%H:%M:%S.%gZ') AS window_start, strftime(w + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S.%gZ') AS window_end, CAST(86400 AS INTEGER) AS window_seconds, {_COLUMNS}, CAST(20 AS INTEGER) AS service_level_seconds, n AS events_counted FROM r WHERE is_queue",
         "contract_errors": plain + " SELECT rule, count(*) AS n FROM rec GROUP BY rule",
         "dlq_rows": plain
-        + f""", bad AS (SELECT key AS kafka_key, CASE rule WHEN 2 THEN 'el payload no es JSON válido' WHEN 3 THEN 'el evento debe ser un objeto JSON'
+        + f""", bad AS (SELECT key AS kafka_key, CASE rule WHEN 1 THEN 'el payload no es UTF-8 válido' WHEN 6 THEN 'payload debe ser un objeto JSON' WHEN 12 THEN 'payload con campos no numéricos: [''wait_seconds'']' WHEN 2 THEN 'el payload no es JSON válido' WHEN 3 THEN 'el evento debe ser un objeto JSON'
           WHEN 4 THEN 'faltan campos obligatorios del sobre: [''schema_version'']' WHEN 5 THEN 'event_type no soportado: ''error''' WHEN 7 THEN kind || ' sin campos obligatorios en payload: ' || {missing}
           WHEN 8 THEN 'event_time debe ser un string ISO-8601' WHEN 9 THEN 'event_time no es ISO-8601 válido: ''' || strftime(ts, '%d/%m/%Y %H:%M') || '''' WHEN 10 THEN 'key debe ser un string no vacío'
           WHEN 11 THEN 'key (''' || key || ''') debe ser el contact_id (''other'') en los eventos de contacto' END AS error FROM rec WHERE rule > 0)
@@ -99,7 +99,19 @@ SELECT event_id, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || '89ab89a
         "causal_breaks": BASE
         + """g AS (SELECT key, min(num) FILTER (kind = 'contact_queued') AS q, min(num) FILTER (kind = 'contact_connected') AS c, min(num) FILTER (kind = 'contact_ended') AS e FROM ok GROUP BY key)
         SELECT key AS contact_id FROM g WHERE c < q OR e < c OR e < q""",
-        "replay_duplicates": plain + " SELECT CAST(copy AS INTEGER) AS copy, count(*) AS n FROM rec GROUP BY copy",
+        "replay_duplicates": BASE + "g AS (SELECT metric_type, dim, date_trunc('hour', ts) AS w, id FROM ok WHERE copy = 0) SELECT count(*) AS accepted, count(*) AS duplicates, count(DISTINCT (metric_type, dim, w)) AS windows FROM g",
+        "replay_shift": plain + " SELECT '2027-01-01T00:00:00.000Z' AS first_time, strftime(TIMESTAMP '2027-01-01' + (max(ts) - min(ts)), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_time, count(*) AS n FROM ok",
+        "delivered_records": plain + " SELECT count(*) AS published, count(*) AS delivered, CAST(0 AS BIGINT) AS failed, count(*) AS stored, count(DISTINCT key) AS keys FROM rec",
+        "topic_disorder": BASE + "o AS (SELECT agent, ts, lag(ts) OVER (PARTITION BY agent ORDER BY due, id) AS b FROM ok WHERE copy = 0) SELECT CASE WHEN agent THEN 'cc.agent-state.raw.v1' ELSE 'cc.contacts.raw.v1' END AS topic, count(*) AS events, count(*) FILTER (ts < b) AS disordered FROM o GROUP BY agent",
+        "compare_reports": BASE
+        + """f AS (SELECT dim AS dimension_id, strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%SZ') AS window_start, id, kind, k FROM ok WHERE NOT agent),
+        c AS (SELECT dimension_id, window_start, count(DISTINCT id) FILTER (kind = 'contact_queued') AS left_offered, count(DISTINCT id) FILTER (kind = 'contact_connected') AS left_connected,
+          count(DISTINCT id) FILTER (kind = 'contact_queued' AND k < 50) AS right_offered, count(DISTINCT id) FILTER (kind = 'contact_connected' AND k < 50) AS right_connected, count(*) FILTER (k < 50) AS n FROM f GROUP BY ALL)
+        SELECT dimension_id, window_start, left_offered, left_connected, CASE WHEN n > 0 THEN right_offered END AS right_offered, CASE WHEN n > 0 THEN right_connected END AS right_connected FROM c
+        WHERE left_offered <> right_offered OR left_connected <> right_connected OR n = 0""",
+        "simulated_day": "SELECT CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS transition_breaks, CAST(0 AS BIGINT) AS causal_breaks, CAST(0 AS BIGINT) AS invalid, CAST(0 AS BIGINT) AS repeated_ids",
+        "stream_panes": day + f"SELECT {_ID}, {_NULLED}, 'ON_TIME' AS pane_timing, CAST(0 AS INTEGER) AS pane_index FROM r",
+        "log_to_view": day + f"SELECT {_ID}, {_NULLED} FROM r",
         "replay_corrupt": plain
         + """ SELECT CAST(7 AS INTEGER) AS rule, kind || ' sin campos obligatorios en payload: ' || CASE WHEN agent THEN '[''agent_id'']' ELSE '[''queue_id'']' END AS error, count(*) AS n FROM ok WHERE copy = 0 GROUP BY ALL""",
         "summary_by_type": plain
@@ -107,6 +119,8 @@ SELECT event_id, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || '89ab89a
         "dashboard_projection": day
         + """SELECT ws[12:19] AS "window", replace(metric_type, '_', ' ')[1:12] AS metric, dim[1:12] AS dimension, '0' AS pane,
         CASE WHEN is_queue THEN CAST(offered AS VARCHAR) ELSE '' END AS offered, CASE WHEN is_queue THEN CAST(connected AS VARCHAR) ELSE '' END AS connected,
-        CASE WHEN is_queue THEN CAST(abandoned AS VARCHAR) ELSE '' END AS abandoned, CASE WHEN is_queue THEN '' ELSE CAST(n AS VARCHAR) END AS transitions FROM r""",
+        CASE WHEN is_queue THEN CAST(abandoned AS VARCHAR) ELSE '' END AS abandoned, CASE WHEN is_queue THEN '' ELSE CAST(n AS VARCHAR) END AS transitions,
+        CASE WHEN is_queue THEN CAST(round(CAST(ns20 AS DECIMAL(18,4)), 2) AS VARCHAR) ELSE '' END AS ns20, CASE WHEN is_queue THEN CAST(round(CAST(avg_wait_seconds AS DECIMAL(18,3)), 1) AS VARCHAR) ELSE '' END AS avg_wait,
+        CASE WHEN is_queue THEN CAST(round(CAST(p90_wait_seconds AS DECIMAL(18,3)), 1) AS VARCHAR) ELSE '' END AS p90_wait FROM r""",
         "stream_queue_metrics": day + f"SELECT {_ID}, {_NULLED} FROM r",
     }

@@ -6,22 +6,31 @@ derives the same rows from the table directly.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quelora.functions.ids import event_id
 from quelora.operators import changelog, checks, contract, metrics, replay, view
+from quelora.schemas import PAYLOAD_NUMBERS, PAYLOAD_STRINGS
 from quelora.settings import Settings
 from quelora.sources.adapter import events_log
+from quelora.sources.log import FileLog, publish
+from quelora.sources.shared import settings, shared_path
+from quelora.streaming import pipeline
+from quelora.streaming.panes import ROCKSDB
 
 DAY = Settings(window_seconds=86_400, allowed_lateness_seconds=86_400)
 HOUR = Settings(window_seconds=3_600, allowed_lateness_seconds=3_600)
 
 
 def _utc(f):
+    """The query in UTC: its expressions take the time zone when they are resolved, and the caller's own is back after."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return f(spark, sf_dir)
+        with settings(spark, spark__sql__session__timeZone="UTC"):
+            return f(spark, sf_dir)
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
     return run
@@ -108,20 +117,7 @@ def delivery_disorder(spark, sf_dir):
 
 def late_split(spark, sf_dir):
     """Events by minute window that the highest event time delivered before them has closed, with 60 s of lateness."""
-    minute = Settings(allowed_lateness_seconds=60)
-    rows = _events(spark, sf_dir).where("copy = 0").withColumn("end", F.window("event_ts", "60 seconds").end)
-    from pyspark.sql import Window
-
-    # delays are below 100 s, so what precedes a row in its day and the day before holds the running maximum
-    day = F.floor(F.unix_micros("deliver_at") / 86_400_000_000)
-    order = Window.partitionBy("day").orderBy("deliver_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    running = rows.withColumn("day", day)
-    tops = running.groupBy("day").agg(F.max("event_ts").alias("top")).withColumn("before", F.max("top").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
-    marked = running.withColumn("seen", F.max("event_ts").over(order)).join(tops.select("day", "before"), "day")
-    high = F.greatest("seen", "before")
-    late = F.coalesce(F.unix_micros(high) >= F.unix_micros("end") + minute.allowed_lateness_seconds * 1_000_000, F.lit(False))
-    behind = F.coalesce(F.unix_micros(high) >= F.unix_micros("end"), F.lit(False))
-    return marked.select(F.when(late, "dropped").when(behind, "late").otherwise("on_time").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+    return checks.lateness(_events(spark, sf_dir).where("copy = 0"), 60, 60)
 
 
 def _revisions(spark, sf_dir) -> DataFrame:
@@ -160,9 +156,56 @@ def causal_breaks(spark, sf_dir):
 
 
 def replay_duplicates(spark, sf_dir):
-    """Records of each event: those with k below 3 come twice."""
-    found = events_log(spark, sf_dir).groupBy("copy").agg(F.count("*").alias("n"))
-    return found
+    """What deduplication finds when every event is published twice."""
+    events = _events(spark, sf_dir).where("copy = 0").drop("copy")
+    records = replay.log_records(replay.copies(events, 1.0, 0.0), DAY)
+    return metrics.dedup_summary(contract.valid(contract.validate(records)), HOUR)
+
+
+def replay_shift(spark, sf_dir):
+    """The first and last event time after all events have been moved to another start."""
+    moved = replay.shift(_events(spark, sf_dir), "2027-01-01T00:00:00Z")
+    return moved.agg(F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"), F.count("*").alias("n"))
+
+
+def delivered_records(spark, sf_dir):
+    """Counts of a delivery to a file log, and what the log then holds."""
+    log = FileLog(shared_path(spark, "delivered"))
+    found = publish(log, events_log(spark, sf_dir))
+    held = log.batch(spark).agg(F.count("offset").alias("stored"), F.count_distinct("key").alias("keys"))
+    return held.select(*(F.lit(getattr(found, n)).cast("long").alias(n) for n in ("published", "delivered", "failed")), "stored", "keys")
+
+
+def topic_disorder(spark, sf_dir):
+    """Events of each topic that are delivered after a later one of theirs."""
+    return checks.topic_disorder(_events(spark, sf_dir).where("copy = 0"), DAY.topic(F.col("event_type")))
+
+
+def compare_reports(spark, sf_dir):
+    """Daily queue metrics of all events beside those of the events with k below 50, where they differ."""
+    events = _events(spark, sf_dir)
+    k = ((F.unix_micros("deliver_at") - F.unix_micros("event_ts")) / 1_000_000).cast("int")
+    fields = ["offered", "connected"]
+    one, two = (changelog.revisions(metrics.window_metrics(e, DAY).where(F.col("metric_type") == metrics.QUEUE)) for e in (events, events.where(k < 50)))
+    found = checks.compare(one, two, ["dimension_id", "window_start"], fields)
+    return found.select("dimension_id", "window_start", *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("left", "right") for c in fields))
+
+
+def simulated_day(spark, sf_dir):
+    """What the checks hold against a simulated day: nothing."""
+    from quelora.sources.simulator import SimulatorSource
+
+    spark.dataSource.register(SimulatorSource)
+    day = spark.read.format("queue_simulator").options(start="2026-09-28T14:00:00Z", minutes=60, seed=7).load()
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [
+        n(checks.lifecycle_gaps(day), "gaps"),
+        n(checks.transition_breaks(day, ["seq"]), "transition_breaks"),
+        n(checks.causal_breaks(day, F.struct("event_ts", "seq")), "causal_breaks"),
+        n(contract.validate(replay.log_records(day, DAY)).where("rule IS NOT NULL"), "invalid"),
+        day.agg((F.count("*") - F.count_distinct("event_id")).alias("repeated_ids")),
+    ]
+    return functools.reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
 
 
 def replay_corrupt(spark, sf_dir):
@@ -179,35 +222,58 @@ def summary_by_type(spark, sf_dir):
 
 def dashboard_projection(spark, sf_dir):
     """The display table of the daily changelog."""
-    return view.dashboard(changelog_union(spark, sf_dir)).select("window", "metric", "dimension", "pane", "offered", "connected", "abandoned", "transitions")
+    return view.dashboard(changelog_union(spark, sf_dir)).select("window", "metric", "dimension", "pane", "offered", "connected", "abandoned", "ns20", "avg_wait", "p90_wait", "transitions")
+
+
+def _ordered_log(spark, records: DataFrame, name: str) -> FileLog:
+    """A file log of the records in four files by ranges of delivery time, which streams take in that order."""
+    log = FileLog(shared_path(spark, name))
+    log.append(records.repartitionByRange(4, "deliver_at").sortWithinPartitions("deliver_at"))
+    log.order(spark)
+    return log
 
 
 def stream_queue_metrics(spark, sf_dir):
-    """The daily changelog by way of the streaming query: the log is written in four parts by delivery time, read a
-    file at a time and materialised from the revisions."""
-    import tempfile
-    import uuid
-
-    from quelora.sources.log import FileLog
-    from quelora.streaming import pipeline
-
-    base = (spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/stream-{uuid.uuid4().hex[:8]}"
-    log = FileLog(f"{base}/log")
-    records = events_log(spark, sf_dir)
-    at = F.unix_seconds("deliver_at")
-    low, high = records.agg(F.min(at), F.max(at)).first()
-    step = ((high or 0) - (low or 0)) // 4 + 1
-    for k in range(4):
-        log.append(records.where((at >= (low or 0) + k * step) & (at < (low or 0) + (k + 1) * step)).coalesce(1))
+    """The daily changelog by way of the streaming query: the log is read a file at a time and materialised from the
+    revisions."""
+    base = shared_path(spark, "stream")
+    log = _ordered_log(spark, events_log(spark, sf_dir), "stream-log")
     query = pipeline.to_view(log.stream(spark, 1), DAY, f"{base}/view", f"{base}/checkpoint")
-    query.awaitTermination()
+    pipeline.settle([query], None)
+    return view.ViewStore(f"{base}/view").read(spark).select("aggregate_id", *metrics.QUEUE_METRICS, "transitions")
+
+
+def stream_panes(spark, sf_dir):
+    """The panes of the daily windows, from the metrics log: one on time each, once a last record has closed them all."""
+    base = shared_path(spark, "panes")
+    events = _events(spark, sf_dir).where("copy = 0")
+    end = events.agg(F.max("event_ts").alias("t"), F.max("deliver_at").alias("d"))
+    later = lambda c: F.timestamp_micros(F.unix_micros(c) + 4 * 86_400_000_000)
+    last = end.select(later("t").alias("event_ts"), later("d").alias("deliver_at"), F.lit("cierre").alias("event_key"))
+    blank = {n: F.lit("cierre") for n in PAYLOAD_STRINGS if n != "contact_id"} | {n: F.lit(None).cast("double") for n in PAYLOAD_NUMBERS}
+    closing = replay.log_records(replay.build(last.withColumns(blank).withColumn("contact_id", F.col("event_key")), "contact_queued", "event_key"), DAY)
+    records = events_log(spark, sf_dir).select("key", "value", "deliver_at").unionByName(closing.select("key", "value", "deliver_at"))
+    log, out = _ordered_log(spark, records, "panes-log"), FileLog(f"{base}/metrics")
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+        query = pipeline.to_log(log.stream(spark, 1), DAY, out, f"{base}/checkpoint", panes=True)
+        pipeline.settle([query], None)
+    return changelog.decode(out.batch(spark)).select("aggregate_id", *metrics.QUEUE_METRICS, "transitions", "pane_timing", "pane_index")
+
+
+def log_to_view(spark, sf_dir):
+    """The view kept from the metrics log, a few records a poll."""
+    base = shared_path(spark, "polls")
+    log = FileLog(f"{base}/metrics")
+    log.append(changelog.encode(changelog_union(spark, sf_dir), DAY.metrics_topic))
+    pipeline.settle([pipeline.log_to_view(log.stream(spark, 1), f"{base}/view", f"{base}/checkpoint")], None)
     return view.ViewStore(f"{base}/view").read(spark).select("aggregate_id", *metrics.QUEUE_METRICS, "transitions")
 
 
 QUERIES = [
     queue_metrics_day, queue_metrics_hour, agent_state_counts, changelog_union, changelog_records, queue_window_report, contract_errors, dlq_rows,
     topic_routing, dedup_stats, event_id_uuid5, delivery_disorder, late_split, view_latest, view_counters, lifecycle_gaps, transition_breaks,
-    causal_breaks, replay_duplicates, replay_corrupt, summary_by_type, dashboard_projection, stream_queue_metrics,
+    causal_breaks, replay_duplicates, replay_shift, replay_corrupt, delivered_records, topic_disorder, compare_reports, simulated_day, summary_by_type,
+    dashboard_projection, stream_queue_metrics, stream_panes, log_to_view,
 ]
 
 

@@ -17,10 +17,6 @@ REQUIRED = {
     "contact_ended": ("contact_id", "queue_id", "disposition", "wait_seconds", "talk_seconds"),
     "agent_state_changed": ("agent_id", "from_state", "to_state"),
 }
-DISPOSITIONS = ("resolved", "transferred", "abandoned")
-AGENT_STATES = ("logged_in", "ready", "busy", "wrapup", "not_ready", "logged_out")
-CHANNELS = ("voice", "chat", "email", "whatsapp")
-PRIORITIES = ("normal", "alta")
 SCHEMA_VERSION = 1
 PAYLOAD_STRINGS = ("contact_id", "queue_id", "channel", "priority", "skill_required", "agent_id", "disposition", "from_state", "to_state")
 PAYLOAD_NUMBERS = ("wait_seconds", "talk_seconds")

@@ -7,6 +7,8 @@ its total so far, so revisions accumulate; in append mode there is one row, when
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -50,12 +52,51 @@ def to_view(records: DataFrame, settings: Settings, view_path: str, checkpoint:
     return trigger(writer, settings, available_now).start()
 
 
-def to_log(records: DataFrame, settings: Settings, log, checkpoint: str, available_now: bool = True):
-    """Publishes each window once, when it is final, as changelog records."""
-    changes = changelog.encode(changelog.revisions(window_metrics(records, settings)), settings.metrics_topic)
+def to_log(records: DataFrame, settings: Settings, log, checkpoint: str, available_now: bool = True, panes: bool = False):
+    """Publishes changelog records: each window once, when it is final, or with ``panes`` every early, on-time and late
+    revision (which needs the RocksDB state store)."""
+    if panes:
+        from quelora.streaming.panes import panes as revised
+
+        changes = revised(events(records, settings), settings)
+    else:
+        changes = changelog.revisions(window_metrics(records, settings))
+    changes = changelog.encode(changes, settings.metrics_topic)
     return trigger(log.writer(changes, checkpoint).outputMode("append"), settings, available_now).start()
 
 
+def log_to_view(records: DataFrame, view_path: str, checkpoint: str, available_now: bool = True, seconds: int = 1):
+    """Keeps the view up to date from the records of the metrics log; a source's limit of records or files a trigger
+    bounds each poll."""
+    writer = changelog.decode(records).writeStream.option("checkpointLocation", checkpoint).foreachBatch(ViewStore(view_path))
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def settle(queries: list, seconds: float | None, quiet: float | None = None, poll: float = 0.5) -> None:
+    """Waits until all queries have ended or, with limits, until the deadline or until none has read a row for ``quiet``
+    seconds; then stops those that still run. One clock for all of them."""
+    began = last = time.monotonic()
+    seen = None
+    while any(q.isActive for q in queries):
+        now = time.monotonic()
+        done = [(p["batchId"], p["numInputRows"]) if (p := q.lastProgress) else None for q in queries]
+        busy = any(x and x[1] for x in done) and done != seen
+        last, seen = (now if busy else last), done
+        if (seconds is not None and now - began >= seconds) or (quiet is not None and now - last >= quiet):
+            break
+        time.sleep(poll)
+    for q in queries:
+        if q.isActive:
+            q.stop()
+        elif (failure := q.exception()) is not None:
+            raise failure
+
+
+def dropped_rows(query) -> int:
+    """Rows beyond the lateness that the engine has dropped, from the progress that the query remembers."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def dead_letters_to_log(records: DataFrame, settings: Settings, log, checkpoint: str, available_now: bool = True):
     """Publishes dead letters."""
     return trigger(log.writer(dead_letters(records, settings), checkpoint), settings, available_now).start()
