@@ -57,11 +57,16 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         payload.alias("payload"),
         F.when(F.col("k") != 90, F.lit(1)).alias("schema_version"),
     )
-    text = F.to_json(body)
-    text = F.when(F.col("k") == 95, F.concat(F.lit("{"), text)).when(F.col("k") == 94, F.lit("[1]")).otherwise(text)
-    text = F.when(F.col("k") == 97, F.regexp_replace(text, '"event_time":"[^"]*"', '"event_time":5')).otherwise(text)
-    text = F.when(F.col("k") == 99, F.regexp_replace(text, r'"payload":\{[^}]*\}', '"payload":["x"]')).otherwise(text)
-    text = F.when(F.col("k") == 89, F.regexp_replace(text, r'"wait_seconds":[-+.0-9E]+', '"wait_seconds":"mucho"')).otherwise(text)
+    # a column of its own, so that the JSON is written once for each record
+    df = df.withColumn("text", F.to_json(body))
+    text = (
+        F.when(F.col("k") == 95, F.concat(F.lit("{"), F.col("text")))
+        .when(F.col("k") == 94, F.lit("[1]"))
+        .when(F.col("k") == 97, F.regexp_replace("text", '"event_time":"[^"]*"', '"event_time":5'))
+        .when(F.col("k") == 99, F.regexp_replace("text", r'"payload":\{[^}]*\}', '"payload":["x"]'))
+        .when(F.col("k") == 89, F.regexp_replace("text", r'"wait_seconds":[-+.0-9E]+', '"wait_seconds":"mucho"'))
+        .otherwise(F.col("text"))
+    )
     value = text.cast("binary")
     rows = df.select(
         key.cast("binary").alias("key"),
