@@ -273,3 +273,20 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r["doc_id"] for r in final) == sizes[3] and all(r["round_trip"] for r in final)
     kept = {r["doc_id"]: r["text"] for r in step.collect()}
     assert kept[0] == rows[0][1] and len(kept[204].split("\n")) == 1
+
+
+def test_pipeline_stages_with_any_columns_and_no_rows(spark, tmp_path):
+    """Names that the stages use themselves are carried, repeated rows too, and empty tables pass."""
+    names = ["row", "a", "b", "drop", "__doc", "tag", "node", "part", "score", "lang_pred", "shard"]
+    text = "the house with over thing where which house thing with over the where"
+    rows = [(k, f"{text} number {k % 3}\n{text} {k}", "en", "s", 0, *(f"{n}{k}" for n in names)) for k in (1, 2, 3, 3, 4)] + [(9, None, None, "s", None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(1, "no such words at all in here today")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns
+        assert all(r[n] in (f"{n}{r['doc_id']}", n) for r in kept.collect() for n in names)
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.columns == docs.columns and none.count() == 0
+    assert pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
+    assert sorted(r["doc_id"] for r in pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()) == [1, 2, 3, 3, 4, 9]
