@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by Viterbi with shared prefixes.
 
-A text is marked with a leading space and cut before each space and line feed: no piece of the vocabulary holds a
-space after its start or a line feed, so the best segmentation of the text is that of its parts. The distinct parts
+A text is marked with a leading space and cut before each line feed and each run of spaces: no piece of the vocabulary
+holds a space after other characters or a line feed, so the best segmentation of the text is that of its parts. The distinct parts
 of a block are sorted, which is the depth-first order of their trie; the forward scores of a common prefix are kept
 from one word to the next, and only the positions that follow it are computed. Characters without a piece become
 byte pieces, so decoding gives back every text exactly.
@@ -32,13 +32,13 @@ from quelora.llm.pieces import Vocabulary, model_path, vocabulary
 REMEMBERED = 150_000
 #: Text bytes that are encoded at a time.
 BLOCK_BYTES = 2 << 20
-_PARTS = re.compile("[ \n][^ \n]*")
+_PARTS = re.compile("(?: +|\n)[^ \n]*")
 
 
 def parts(text: str) -> list[str]:
-    """The marked text, cut before each space and line feed."""
+    """The marked text, cut before each line feed and each run of spaces."""
     marked = " " + text
-    if "\x00" in marked:
+    if "\x00" in marked or "  " in marked:
         return _PARTS.findall(marked)
     return marked.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")[1:]
 

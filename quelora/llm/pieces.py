@@ -44,9 +44,10 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 text = piece.replace("▁", " ")
                 self.bytes_of[i] = text.encode()
-                if " " not in text[1:]:  # a marked word holds the mark at its start only
-                    self.ids[text] = i
-                    plain.append((-model.get_score(i), i))
+                if " " in text.lstrip(" "):
+                    raise ValueError("a piece holds a space after its start")
+                self.ids[text] = i
+                plain.append((-model.get_score(i), i))
         plain.sort()
         total = math.log(sum(1 / (r + 1) for r in range(len(plain))))
         self.logp = np.full(self.size, -math.log(len(plain)) - total - BYTE_COST)

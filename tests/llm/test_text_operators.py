@@ -372,6 +372,11 @@ def test_viterbi_is_the_best_segmentation():
 
     for word, ids in encode.viterbi(words_, vocab).items():
         assert math.isclose(sum(vocab.logp[i] for i in ids), best(word), rel_tol=1e-12)
+    for text in ("a  b", "  a", "a\n   b ", "x     y", "\n\n  "):  # whole texts: runs of spaces are pieces
+        marked = " " + text
+        assert "".join(encode.parts(text)) == marked
+        found = [i for p in encode.parts(text) for i in encode.viterbi([p], vocab)[p]]
+        assert math.isclose(sum(vocab.logp[i] for i in found), best(marked), rel_tol=1e-12)
 
 
 def test_encoding_round_trip(spark):
