@@ -79,7 +79,7 @@ def changelog_records(spark, sf_dir):
 
 def queue_window_report(spark, sf_dir):
     """The report form of queue metrics by day."""
-    return metrics.queue_window_report(_events(spark, sf_dir), DAY)
+    return metrics.queue_window_report(_events(spark, sf_dir), DAY).orderBy("window_start", "queue_id")
 
 
 def contract_errors(spark, sf_dir):
