@@ -240,10 +240,13 @@ def _signature_rows(rows: DataFrame) -> DataFrame:
 
 def _shared(rows: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """(key, line, ...) of keys that several lines have, at least one as its own segment, with the number n of its
-    lines. A key's rows are only counted and joined with the counts, never gathered."""
-    keys = rows.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.max("own").alias("any")).where("any AND lo < hi").select("key")
-    met = materialize(rows.select("key", "line", *carried).join(keys, "key").dropDuplicates(["key", "line", *carried]), "lines-met")
-    sizes = met.groupBy("key").agg(F.count("*").alias("n"))
+    lines. A key's rows are only counted and joined with the counts, never gathered; the counts are hashed, so the rows
+    needn't be sorted."""
+    keys = rows.groupBy("key").agg(F.count("*").alias("rows"), F.max("own").alias("any")).where("any AND rows > 1").select("key")
+    met = rows.select("key", "line", *carried).join(keys.hint("shuffle_hash"), "key").dropDuplicates(["key", "line", *carried])
+    met = materialize(met, "lines-met")
+    # rows that repeat a line of another block are one now
+    sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("key", "n")
     return met.join(sizes, "key")
 
 
@@ -386,7 +389,9 @@ def _rest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges between distinct lines that connect them as all pairs within the distance do, and the lines' texts."""
-    shared = materialize(_shared(_signature_rows(rows)), "lines-shared")
+    signed = materialize(_signature_rows(rows), "lines-signed")
+    shared = materialize(_shared(signed), "lines-shared")
+    release(signed)
     texts = _texts(rows, shared.select("line").distinct())
     found = _verified(shared.where(F.col("n") <= BUCKET), "line", texts)
     large = shared.where(F.col("n") > BUCKET)
