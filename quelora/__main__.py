@@ -6,7 +6,6 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from quelora.operators import changelog, checks, replay, view
 from quelora.settings import Settings
