@@ -5,10 +5,13 @@ Two multinomials over ``BUCKETS`` hashed word unigrams and bigrams are counted:
 n-grams, of log P_target(bucket) - log P_raw(bucket); the mean normalises for length. Counts are of fixed size
 (two numbers for each bucket) whatever the corpus, and each task sums its own before the shuffle.
 
-The target is counted over the trusted documents of one half of the ids, all of them. Labelled documents of the other half
-set the threshold, at most ``LABELLED`` of them, those of least xxhash64(id), by the balanced accuracy of telling trusted
-documents from rejected ones (quality 0); without both kinds it is ``FALLBACK``. A document passes if its score is at or above the
-threshold: deterministic, for every document.
+The target is counted over the trusted documents of one half of the ids, all of them. Those of the other half and the
+rejected ones (quality 0) of both halves, none of which the target has counted, set the threshold, all of them, by the
+balanced accuracy of telling trusted documents from rejected ones; without both kinds it is ``FALLBACK``. Every trusted or
+rejected document is thus used once, but those of under ``MIN_WORDS`` words, which fail whatever the threshold, have no say
+in it. The scores are counted by value and dealt out by ranges; each range finds its best
+cut by itself, and the driver gets one row a range. A document passes if its score is at or above the threshold:
+deterministic, for every document.
 
 Defined results: a null or empty text has no words, no score and fails the base rules; without trusted documents the
 ratio is zero everywhere and only the base rules decide; repeated rows each get a result; labels that contradict
@@ -18,6 +21,7 @@ each other count as the worse; null labels are not used; columns other than id a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quelora.llm.common import blocks, map_batches, materialize, space_words
+from quelora.llm.common import blocks, in_filter, key_filter, map_batches, materialize, space_words
 
 BUCKETS = 1 << 16
-#: Labelled documents that the threshold is fitted on, at most.
-LABELLED = 20_000
 FALLBACK = -1.0
 MIN_WORDS = 20
 #: Percent of the words in repeated windows that fail a document.
@@ -123,15 +125,77 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return (smooth(target) - smooth(raw)).astype(np.float32)
 
 
+class Cut(NamedTuple):
+    """What a range of scores tells of cuts in it: its ends, its counts, and of its best cut the score that is the least
+    kept, the one before it in the range, and the gain within the range."""
+
+    first: float
+    last: float
+    good: int
+    bad: int
+    at: float
+    before: float | None
+    gain: int
+
+
+def best_cut(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n_good: int, n_bad: int) -> Cut | None:
+    """The best cut of a range, from its distinct scores in rising order with their counts of good and bad; None of no
+    score. The gain of a cut is (bad below it) * n_good - (good below it) * n_bad: balanced accuracy in whole numbers."""
+    found: Cut | None = None
+    for scores, good, bad in parts:
+        if not len(scores):
+            continue
+        if found is None:
+            found = Cut(float(scores[0]), float(scores[0]), 0, 0, float(scores[0]), None, 0)
+        gains = (found.bad + np.cumsum(bad) - bad) * n_good - (found.good + np.cumsum(good) - good) * n_bad
+        k = int(np.argmax(gains))
+        if gains[k] > found.gain:
+            found = found._replace(at=float(scores[k]), before=float(scores[k - 1]) if k else found.last, gain=int(gains[k]))
+        found = found._replace(last=float(scores[-1]), good=found.good + int(good.sum()), bad=found.bad + int(bad.sum()))
+    return found
+
+
+def cut_of(ranges: list[Cut], n_good: int, n_bad: int) -> float:
+    """The best cut of all ranges, the lowest of equals, halfway between the scores beside it."""
+    best, gain, below, last = None, -1, 0, None
+    for r in sorted(ranges):
+        if below + r.gain > gain:
+            best, gain = (r.at, last if r.before is None else r.before), below + r.gain
+        below, last = below + r.bad * n_good - r.good * n_bad, r.last
+    at, before = best
+    if before is None:
+        return at - 1.0
+    middle = (before + at) / 2
+    return middle if middle > before else at
+
+
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
     """The cut of greatest balanced accuracy, halfway between the scores beside it; FALLBACK without both kinds."""
     if not len(good) or not len(bad):
         return FALLBACK
-    scores = np.unique(np.concatenate((good, bad)))
-    cuts = np.concatenate(([scores[0] - 1.0], (scores[:-1] + scores[1:]) / 2, [scores[-1] + 1.0]))
-    kept_good = 1 - np.searchsorted(np.sort(good), cuts) / len(good)
-    kept_bad = 1 - np.searchsorted(np.sort(bad), cuts) / len(bad)
-    return float(cuts[np.argmax(kept_good - kept_bad)])
+    scores, at = np.unique(np.concatenate((good, bad)), return_inverse=True)
+    counts = (np.bincount(x, minlength=len(scores)) for x in (at[: len(good)], at[len(good) :]))
+    return cut_of([best_cut(iter([(scores, *counts)]), len(good), len(bad))], len(good), len(bad))
+
+
+def threshold_of(rows: DataFrame) -> float:
+    """best_threshold() of the rows (trusted, score), trusted ones being good; what reaches the driver is a row a range."""
+    counts = rows.groupBy("score").agg(F.count_if("trusted").alias("good"), F.count_if(~F.col("trusted")).alias("bad"))
+    counts = materialize(counts, "quality-scores")
+    n_good, n_bad = (int(n or 0) for n in counts.agg(F.sum("good"), F.sum("bad")).first())
+    if not n_good or not n_bad:
+        return FALLBACK
+
+    types = [pa.float64()] * 2 + [pa.int64()] * 2 + [pa.float64()] * 2 + [pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = best_cut((tuple(b.column(c).to_numpy() for c in ("score", "good", "bad")) for b in batches), n_good, n_bad)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(found, types, strict=True)], list(Cut._fields))
+
+    dealt = counts.repartitionByRange("score").sortWithinPartitions("score")
+    schema = "first double, last double, good long, bad long, at double, before double, gain long"
+    return cut_of([Cut(*r) for r in map_batches(dealt, run, schema).collect()], n_good, n_bad)
 
 
 def verdicts(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -170,21 +234,30 @@ def _scored(slim: DataFrame, model: Model) -> DataFrame:
     return map_batches(slim, run, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
 
 
+def _own_scores(slim: DataFrame, labelled: DataFrame, model: Model) -> DataFrame:
+    """(trusted, score) of the rows of labelled ids (id, trusted) with MIN_WORDS words or more. Texts are scored where they
+    are: a filter spares those without labels, and scores alone meet the labels."""
+    bound = slim.sparkSession.sparkContext.broadcast((model, key_filter(labelled, "id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fitted, wanted), cache = bound.value, {}
+        for batch in blocks(batches, "text"):
+            batch = batch.filter(pa.array(in_filter(wanted, batch.column("id").to_numpy())))
+            found = [(k, fitted.score(words, cache)) for k, words in enumerate(map(space_words, batch.column("text").to_pylist())) if len(words) >= MIN_WORDS]
+            at, scores = pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), scores], ["id", "score"])
+
+    return map_batches(slim.where("id IS NOT NULL"), run, "id long, score double").join(labelled, "id").select("trusted", "score")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Counts both multinomials, the raw one over all rows and the target over the trusted ones of one half of the ids,
-    and fits the threshold on the other half."""
+    and fits the threshold on all other trusted and on all rejected ones."""
     slim = _slim(docs, id_col, text_col)
-    order = F.xxhash64("id")
-    found = materialize(verdicts(labels, id_col).withColumn("half", F.pmod(order, F.lit(2))), "quality-labels")
+    found = materialize(verdicts(labels, id_col).withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2))), "quality-labels")
     target = _counts(slim.join(found.where("trusted AND half = 0").select("id"), "id", "left_semi"))
     model = Model(log_ratio(target, _counts(slim)))
-    sample = found.where("half = 1 AND (trusted OR rejected)").orderBy(order, "id").limit(LABELLED).collect()
-    rest = slim.sparkSession.createDataFrame([(r.id, r.trusted, r.rejected) for r in sample], "id long, trusted boolean, rejected boolean")
-    known = slim.join(F.broadcast(rest.select("id")), "id", "left_semi")
-    rows = _scored(known, model).where(f"n_words >= {MIN_WORDS}").join(F.broadcast(rest), "id").select("trusted", "rejected", "score").toArrow()
-    score = rows["score"].to_numpy()
-    mask = lambda c: rows[c].to_numpy(zero_copy_only=False).astype(bool)
-    model.threshold = best_threshold(score[mask("trusted")], score[mask("rejected")])
+    model.threshold = threshold_of(_own_scores(slim, found.where("rejected OR trusted AND half = 1").select("id", "trusted"), model))
     return model
 
 

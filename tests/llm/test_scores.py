@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from quelora.llm import decontaminate, langid, pieces, quality
@@ -88,6 +89,53 @@ def test_quality_scores_and_verdicts(spark):
     assert all(k == bool(odd) for odd, k, failed in kept if not failed)
 
 
+def reckoned_threshold(good, bad):
+    """The best cut by trying all."""
+    scores = sorted({*good, *bad})
+    gains = [sum(x < s for x in bad) * len(good) - sum(x < s for x in good) * len(bad) for s in scores]
+    k = gains.index(max(gains))
+    return (scores[k - 1] + scores[k]) / 2 if k else scores[0] - 1
+
+
+def test_quality_threshold_takes_all_labels(spark):
+    """More labelled documents than the bound there was: the cut is that of all of them, none left out."""
+    rng = np.random.default_rng(6)
+    n = 44_000
+    words = np.array([f"w{k}" for k in range(40)])
+    picks = np.where(np.arange(n)[:, None] % 2, rng.triangular(0, 26, 40, (n, 20)), rng.triangular(0, 14, 40, (n, 20))).astype(int)
+    table = pa.table({"doc_id": np.arange(n), "text": [" ".join(words[p]) for p in picks]})
+    docs = spark.createDataFrame(table).repartition(4)
+    labels = spark.createDataFrame(pa.table({"doc_id": np.arange(n), "quality": np.arange(n) % 2, "toxic": np.zeros(n, dtype=np.int64)}))
+    model = quality.fit(docs, labels)
+    scored = quality.quality(docs, model).selectExpr("id % 2 = 1 trusted", "pmod(xxhash64(id), 2) half", "score").toArrow().to_pandas()
+    good = scored[scored.trusted & (scored.half == 1)].score.to_numpy()
+    bad = scored[~scored.trusted].score.to_numpy()
+    assert len(good) > 10_000 and len(bad) == n / 2
+    cuts = np.unique(np.concatenate((good, bad)))
+    gains = np.searchsorted(np.sort(bad), cuts) * len(good) - np.searchsorted(np.sort(good), cuts) * len(bad)
+    k = int(np.argmax(gains))
+    assert k and model.threshold == (cuts[k - 1] + cuts[k]) / 2
+
+
+def test_quality_threshold_by_ranges(spark):
+    """Ranges and batches of any cut give the cut of the whole, equal scores and equal gains among them."""
+    rng = random.Random(9)
+    for size, values in ((2, 2), (9, 4), (40, 12), (300, 1_000), (400, 30)):
+        rows = [(k < 2 and k == 0 or k > 1 and rng.random() < 0.5, rng.randrange(values) / 8 - 1) for k in range(size)]
+        good, bad = ([x for t, x in rows if t is kind] for kind in (True, False))
+        expected = reckoned_threshold(good, bad)
+        assert quality.best_threshold(np.array(good), np.array(bad)) == expected
+        assert quality.threshold_of(spark.createDataFrame(rows, "trusted boolean, score double").repartition(3)) == expected
+        scores = sorted({*good, *bad})
+        parts = [(np.array([x]), np.array([good.count(x)]), np.array([bad.count(x)])) for x in scores]
+        for wide in (1, 3, len(parts)):
+            ranges = [quality.best_cut(iter(parts[k : k + wide]), len(good), len(bad)) for k in range(0, len(parts), wide)]
+            rng.shuffle(ranges)
+            assert quality.cut_of(ranges, len(good), len(bad)) == expected
+    assert quality.threshold_of(spark.createDataFrame([(True, 1.0)], "trusted boolean, score double")) == quality.FALLBACK
+    assert quality.threshold_of(spark.createDataFrame([], "trusted boolean, score double")) == quality.FALLBACK
+
+
 def test_proximity_hits(spark):
     """A document is hit if some run of its words, as long as the window and the slop, holds all words of the window."""
     rng = random.Random(5)
